@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textveil.llm import exact_dedup, packing, pieces, token_files, url_rules
+from textveil.llm import exact_dedup, line_quality, packing, pieces, simhash, token_files, url_rules
 from textveil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
@@ -44,13 +48,17 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), HOST_RULES)
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge_documents(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_files, op3_exact_dedup, op5_packing, op7_url_rules, op10_piece_coding)
+    for f in (op1_token_files, op3_exact_dedup, op4_simhash, op5_packing, op7_url_rules, op8_line_quality, op10_piece_coding)
 }
 
 EXACT_SQL = """
