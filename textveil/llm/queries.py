@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textveil.llm import exact_dedup, line_quality, packing, pieces, simhash, token_files, url_rules
+from textveil.llm import exact_dedup, line_quality, packing, pieces, simhash, suffix_dedup, token_files, url_rules
 from textveil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"), window=400)
+
+
 #: The contract's host rules.
 HOST_RULES = (
     url_rules.host_rule("allow", "org", "/"),
@@ -58,7 +62,7 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_files, op3_exact_dedup, op4_simhash, op5_packing, op7_url_rules, op8_line_quality, op10_piece_coding)
+    for f in (op1_token_files, op3_exact_dedup, op4_simhash, op5_packing, op6_suffix_dedup, op7_url_rules, op8_line_quality, op10_piece_coding)
 }
 
 EXACT_SQL = """
