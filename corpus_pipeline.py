@@ -1,12 +1,60 @@
-"""A corpus preparation pipeline of the llm operators; each stage is written and read again by the next."""
+"""A corpus preparation pipeline of the llm operators.
+
+Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns a DataFrame that is
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases are those of the operators; rows with null columns pass through, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from textveil.llm import exact_dedup, packing, simhash, suffix_dedup, toxic_crf
+from textveil.llm.common import table, written
+from textveil.llm.queries import tokenizer_file
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tagger rejects go."""
+    return toxic_crf.keep_clean(docs, toxic_crf.learn(docs, table(spark, sf_dir, "labels"), toxic_crf.learnable()))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by their fingerprints the one with the smallest doc_id stays."""
+    return simhash.keep_one(docs, words=3, radius=2)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in passages of 400 bytes or more that occur elsewhere too are cut from the texts."""
+    return suffix_dedup.remove_repeats(docs, window=400)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences: a row for each piece of a document."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact copies", exact_copies),
+    ("near copies", near_copies),
+    ("repeated passages", repeated_passages),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express a trained tagger.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages, applied to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

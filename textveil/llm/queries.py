@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textveil.llm import exact_dedup, line_quality, packing, pieces, simhash, suffix_dedup, token_files, url_rules
+from textveil.llm import byte_cnn, exact_dedup, line_quality, packing, pieces, simhash, suffix_dedup, token_files, toxic_crf, url_rules
 from textveil.llm.common import table
+from textveil.llm.labelled import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_index(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = byte_cnn.learn(docs, table(spark, sf_dir, "labels"), byte_cnn.learnable())
+    return byte_cnn.score_documents(docs, net).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,13 +64,23 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge_documents(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op9_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = toxic_crf.learn(docs, table(spark, sf_dir, "labels"), toxic_crf.learnable())
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return toxic_crf.score_documents(docs, crf).select("doc_id", held_out, "score", "predicted", "spans")
+
+
 def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_files, op3_exact_dedup, op4_simhash, op5_packing, op6_suffix_dedup, op7_url_rules, op8_line_quality, op10_piece_coding)
+    for f in (
+        op1_token_files, op2_byte_cnn, op3_exact_dedup, op4_simhash, op5_packing, op6_suffix_dedup, op7_url_rules, op8_line_quality,
+        op9_toxic_crf, op10_piece_coding,
+    )
 }
 
 EXACT_SQL = """

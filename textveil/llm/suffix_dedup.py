@@ -328,7 +328,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def kept_bytes(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     """What stays, how many bytes went, in how many runs."""
-    runs = merged([(s["a"], s["b"]) for s in spans or []])
+    runs = merged([(s["a"], s["b"]) for s in (() if spans is None else spans)])
     parts, at = [], 0
     for a, b in runs:
         parts.append(raw[at:a])
