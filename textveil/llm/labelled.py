@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import BLANKS
-
 
 def fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
@@ -14,21 +12,28 @@ def fold(column: str, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, chars: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each class, in an order that depends on the text alone, cut to chars characters.
+    """At most per_class texts of each class, in the order of a hash of their ids, cut to chars characters.
 
-    usable: a condition on the labels' doc_id. Equal texts count once and only if their labels agree; a label that is
-    null or neither 0 nor 1 is none. The bound is per_class * 2 rows, whatever the input; training needs no more, and
-    scoring reads every text in full.
+    usable: a condition on the labels' doc_id. A label that is null or neither 0 nor 1 is none, nor are two that
+    disagree; equal texts count once. The rows are chosen by the labels alone, so documents are filtered as they are
+    read, by a broadcast of at most 2 * per_class ids, and no text is shuffled. The bound is the same whatever the
+    input; scoring reads every text in full.
     """
-    known = labels.where(usable).select(F.col("doc_id").alias("labelled"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    rows = docs.select(F.col("doc_id").alias("own"), F.coalesce("text", F.lit("")).alias("text")).join(known, F.col("own") == F.col("labelled"))
-    rows = rows.select("y", "text", F.xxhash64(F.regexp_replace("text", BLANKS, " ")).alias("order"))
-    keys = rows.groupBy("order").agg(F.min("y").alias("y"), F.max("y").alias("other"), F.min("text").alias("text")).where("y = other")
-    keys = keys.select("order", "y", F.substring("text", 1, chars).alias("text"))
-    out = []
-    for y in (0, 1):
-        out += [(r.text, y) for r in keys.where(F.col("y") == y).orderBy("order").limit(per_class).select("text").collect()]
-    return out
+    known = labels.where(usable).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("labelled"), F.col(label).cast("int").alias("y"))
+    known = known.where("y in (0, 1)").groupBy("labelled").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("labelled", "y")
+    order = F.xxhash64("labelled")
+    chosen = known.where("y = 0").orderBy(order, "labelled").limit(per_class).unionByName(known.where("y = 1").orderBy(order, "labelled").limit(per_class))
+    ids = chosen.collect()  # at most 2 * per_class
+    if not ids:
+        return []
+    wanted = docs.sparkSession.createDataFrame(ids, "labelled long, y int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("labelled"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"))
+    found = rows.join(F.broadcast(wanted), "labelled").select("labelled", "y", "text").collect()
+    place = {r.labelled: k for k, r in enumerate(ids)}
+    texts: dict[str, int] = {}
+    for r in sorted(found, key=lambda r: (place[r.labelled], r.text)):
+        texts.setdefault(r.text, r.y)
+    return list(texts.items())
 
 
 def class_odds(labels: DataFrame, label: str, usable: Column) -> float:
