@@ -286,7 +286,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
     small_batches(spark)
     rows = _keyed(docs)
     found = written(spark, _anchor_rows(rows, window, gram), "anchors")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # written first: joined as a table of its own, a hot anchor's rows can be split over tasks
+    twice = written(spark, found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors-known")
     found = written(spark, found.join(twice, "anchor", "left_semi"), "anchors-twice")
     counted = written(spark, _counted(found, F.count("*")), "anchor-strings")
     name = ["anchor", "place", "n", "whole"]
