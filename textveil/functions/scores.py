@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textveil.functions.text import CHUNK, RUN, despaced_skeleton, skeleton
+from textveil.functions.text import CHUNK, RUN, despaced_skeleton, let, skeleton
 
 # Words of the keyword proxy.
 KEYWORDS = tuple("dummy doofus nitwit stupid idiot moron loser clown jerk fool silly pathetic useless worthless trash garbage".split())
@@ -29,9 +29,9 @@ def term_skeletons(terms: Sequence[str]) -> Column:
 
 def skeletons_held(text: Column, skeletons: Column) -> Column:
     """Those of skeletons that equal a token's skeleton or lie in that of the text without blanks."""
-    own = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(CHUNK), 0), skeleton)
-    whole = despaced_skeleton(F.coalesce(text, F.lit("")))
-    return F.filter(skeletons, lambda s: F.array_contains(own, s) | F.contains(whole, s))
+    text = F.coalesce(text, F.lit(""))
+    seen = F.struct(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(CHUNK), 0), skeleton)).alias("own"), despaced_skeleton(text).alias("whole"))
+    return let(seen, lambda t: F.filter(skeletons, lambda s: F.contains(t["whole"], s) | F.array_contains(t["own"], s)))
 
 
 def lexicon_proxy(text: Column, terms: Sequence[str]) -> Column:

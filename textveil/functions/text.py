@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -56,6 +57,11 @@ def emoji_class() -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda nothing else keeps an expression from being repeated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), 0)
 
@@ -150,14 +156,18 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}\s]", "")
-    starts = F.when(F.length(kept) >= n, F.sequence(F.lit(1), F.length(kept) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(kept, i, F.lit(n))))
+    def cut(kept: Column) -> Column:
+        starts = F.when(F.length(kept) >= n, F.sequence(F.lit(1), F.length(kept) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(kept, i, F.lit(n))))
+
+    return let(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}\s]", ""), cut)
 
 
 def ngram_overlap(a: Column, b: Column, n: int = 3) -> Column:
-    own = char_ngrams(a, n)
-    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, char_ngrams(b, n))) / F.size(own))
+    def share(own: Column) -> Column:
+        return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, char_ngrams(b, n))) / F.size(own))
+
+    return let(char_ngrams(a, n), share)
 
 
 def tokens_changed(before: Column, after: Column) -> Column:

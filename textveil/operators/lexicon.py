@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textveil.functions.scores import skeletons_held, term_skeletons
-from textveil.functions.text import skeleton
+from textveil.functions.text import let, skeleton
 
 # Signs that may stand for a letter.
 VARIANTS = {"a": "4@", "b": "8", "c": "(", "e": "3", "g": "69", "i": "1!|", "l": "1|", "o": "0", "s": "5$", "t": "7+", "z": "2"}
@@ -62,13 +62,14 @@ def spans(text: Column, terms: Sequence[str], max_gap: int = 2) -> Column:
         return empty
     found = []
     for group in groups:
+        # the fold below is built at once, so it sees this group's terms
         pattern = bounded([term_pattern(t, max_gap) for t in group])
         matches, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
         lengths = F.zip_with(between, matches, lambda s, m: F.struct(F.length(s).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("m")))
         placed = F.aggregate(
             lengths,
             F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda a, x, group=group: F.struct(
+            lambda a, x: F.struct(
                 (a["at"] + x["gap"] + x["size"]).alias("at"),
                 F.when(
                     x["m"].isNotNull(),
@@ -85,10 +86,7 @@ def spans(text: Column, terms: Sequence[str], max_gap: int = 2) -> Column:
 def resolve(raw: Column) -> Column:
     """Spans without overlaps: the longest first, then the leftmost; in order of start."""
     size = lambda s: s["end"] - s["start"]
-    ordered = F.array_sort(
-        raw,
-        lambda a, b: F.when(size(a) != size(b), size(b) - size(a)).otherwise(a["start"] - b["start"]),
-    )
+    ordered = F.array_sort(raw, lambda a, b: F.when(size(a) != size(b), size(b) - size(a)).otherwise(a["start"] - b["start"]))
     chosen = F.aggregate(
         ordered,
         F.array().cast("array<struct<start:int,end:int,canonical:string>>"),
@@ -105,7 +103,7 @@ def protected_terms(text: Column, terms: Sequence[str], max_gap: int = 2) -> Col
     by_pattern = F.array_compact(F.array(*(F.when(text.rlike(bounded([term_pattern(t, max_gap)])), F.lit(t)) for t in terms)))
     known = F.array(*(F.struct(F.lit(t).alias("term"), skeleton(F.lit(t)).alias("skeleton")) for t in terms))
     held = skeletons_held(text, term_skeletons(terms))
-    by_skeleton = F.transform(F.filter(known, lambda k: F.array_contains(held, k["skeleton"])), lambda k: k["term"])
+    by_skeleton = let(held, lambda h: F.transform(F.filter(known, lambda k: F.array_contains(h, k["skeleton"])), lambda k: k["term"]))
     return F.array_sort(F.array_distinct(F.concat(by_pattern, by_skeleton)))
 
 

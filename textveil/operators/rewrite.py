@@ -23,7 +23,7 @@ from textveil.operators.triage import route_sets, saliency_routes, style_routes
 def hash_vector(text: Column, size: int = 32) -> Column:
     """A stand-in encoder: counts of hashed words, as an array of doubles."""
     slots = F.transform(F.regexp_extract_all(F.lower(text), F.lit(T.RUN), 0), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return T.let(slots, lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double")))
 
 
 def prune(items: Column, vector: Callable[[Column], Column], tau: float, most: int) -> Column:
@@ -37,7 +37,8 @@ def prune(items: Column, vector: Callable[[Column], Column], tau: float, most: i
 
 
 def gate(candidate: Column, original: Column, skeletons: Column, p: Column, p_original: Column, cosine: Column, config: SentenceConfig) -> Column:
-    """Name of the first gate that candidate fails; empty if it passes all. Dear ones come last and stay unevaluated."""
+    """Name of the first gate that candidate fails; empty if it passes all. The dear one, quadratic in the lengths,
+    comes last and is evaluated only for candidates that get there."""
     length = F.size(F.regexp_extract_all(candidate, F.lit(T.CHUNK), 0))
     long = F.lit(config.max_length_tokens > 0) & (length > config.max_length_tokens)
     return (
@@ -53,21 +54,21 @@ def gate(candidate: Column, original: Column, skeletons: Column, p: Column, p_or
 
 def gated(items: Column, original: Column, skeletons: Column, config: SentenceConfig, score: Callable[[Column], Column] = keyword_share, encode: Callable[[Column], Column] = hash_vector) -> Column:
     """array of (text, reject, p_hate, sem_cos, score) for an array of texts."""
-    p0, v0 = score(original), encode(original)
+    def one(c: Column, base: Column) -> Column:
+        found = F.struct(c.alias("text"), score(c).alias("p"), dp.cosine(base["v"], encode(c)).alias("cos"))
+        return T.let(found, lambda f: T.let(gate(f["text"], original, skeletons, f["p"], base["p"], f["cos"], config), lambda reject: detail(f, reject)))
 
-    def one(c: Column) -> Column:
-        p, cos = score(c), dp.cosine(v0, encode(c))
-        reject = gate(c, original, skeletons, p, p0, cos, config)
+    def detail(f: Column, reject: Column) -> Column:
         after = lambda *names: reject.isin(*names)
         return F.struct(
-            c.alias("text"),
+            f["text"].alias("text"),
             reject.alias("reject"),
-            F.when(after("empty", "span"), 0.0).otherwise(p).alias("p_hate"),
-            F.when(after("empty", "span", "hate_floor", "length"), 0.0).otherwise(cos).alias("sem_cos"),
-            F.when(reject == "", cos - config.delta_u * p + config.privacy_weight * T.edit_ratio(original, c)).alias("score"),
+            F.when(after("empty", "span"), 0.0).otherwise(f["p"]).alias("p_hate"),
+            F.when(after("empty", "span", "hate_floor", "length"), 0.0).otherwise(f["cos"]).alias("sem_cos"),
+            F.when(reject == "", f["cos"] - config.delta_u * f["p"] + (config.privacy_weight * T.edit_ratio(original, f["text"]) if config.privacy_weight else 0.0)).alias("score"),
         )
 
-    return F.transform(items, one)
+    return T.let(F.struct(score(original).alias("p"), encode(original).alias("v")), lambda base: F.transform(items, lambda c: one(c, base)))
 
 
 def choose(details: Column, fallback: Column, original: Column, config: SentenceConfig, run_seed: str, row: Column) -> Column:
@@ -91,9 +92,9 @@ def choose(details: Column, fallback: Column, original: Column, config: Sentence
                 p.alias("probs"),
             )
 
-        return dp.let(dp.weights(scores, config.epsilon_2, sensitivity), with_shares)
+        return T.let(dp.weights(scores, config.epsilon_2, sensitivity), with_shares)
 
-    return dp.let(valid, decide)
+    return T.let(valid, decide)
 
 
 def select_rewrite(candidates: list[str], scores: list[float], epsilon: float, uniform: float, clip: float = 5.0, sensitivity: float | None = None) -> tuple[str, int]:

@@ -240,7 +240,6 @@ def epsilon_budget(spark, sf):
     return privatize.budget(privatize.privatize(rows(spark, sf), TOKENS))
 
 
-SQL_FLAT = f"list_reduce(list_prepend('', string_split(regexp_replace(translate(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')), '{SQL_LEET[0]}', '{SQL_LEET[1]}'), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')), lambda acc, c: acc || c)"
 # Collapsing every letter's runs one letter at a time is linear, where a fold over characters is not.
 SQL_COLLAPSED = f"list_reduce(list_prepend(regexp_replace(translate(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')), '{SQL_LEET[0]}', '{SQL_LEET[1]}'), '[^\\p{{L}}\\p{{N}}]', '', 'g'), string_split('abcdefghijklmnopqrstuvwxyz', '')), lambda acc, c: regexp_replace(acc, c || '+', c, 'g'))"
 SQL_HIT = " OR ".join(f"contains(f, '{s}')" for s in ("clown", "trash", "loser", "stupid", "idiot", "scum"))
@@ -399,7 +398,9 @@ def select_candidate(spark, sf):
 
 @register()
 def rewrite_sentences(spark, sf):
-    done = rewrite.rewrite(rows(spark, sf), TOKENS, SENTENCES)
+    """Every turn of every conversation, through all layers."""
+    t = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"), F.col("text").alias("Text"))
+    done = rewrite.rewrite(t, TOKENS, SENTENCES)
     return done.select("row_idx", "result", "audit.k_generated", "audit.k_after_prune", "audit.k_valid", "audit.fallback")
 
 
