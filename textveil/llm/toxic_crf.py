@@ -35,9 +35,10 @@ from textveil.llm.labelled import class_odds, fold, sample
 
 #: Bounds of the training sample: documents a class, and characters of each.
 TRAIN_PER_CLASS, TRAIN_CHARS = 2500, 6000
-#: A form is telling if so many toxic documents hold it, after as many different words, and clean ones at most this
-#: much as often. Near copies share a rare word, but with the same word before it.
-TELLING_DOCS, TELLING_RATIO = 8, 0.02
+#: A form is telling if so many toxic documents hold it, after as many different words, and clean ones at most this much
+#: as often. Near copies share a rare word, but with the same word before it. Toxic documents without such a form may
+#: name further ones, which need only WEAK_DOCS of them.
+TELLING_DOCS, WEAK_DOCS, TELLING_RATIO = 8, 4, 0.02
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
 STRETCH = 128
@@ -155,18 +156,15 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, rounds: int = 25) -> C
     sizes = Counter(y for _, y in texts)
     if len(sizes) < 2:
         return None
-    held = {0: Counter(), 1: Counter()}
+    clean = Counter()
     for tokens, y in texts:
-        held[y].update({f for w in set(tokens) for f in forms(w)})
+        if not y:
+            clean.update({f for w in set(tokens) for f in forms(w)})
     rate = TELLING_RATIO * sizes[0] / sizes[1]
-    telling = {f for f, n in held[1].items() if n >= TELLING_DOCS and held[0][f] <= rate * n}
-    contexts: dict[str, set[str]] = {f: set() for f in telling}
-    for tokens, y in texts:
-        for before, w in zip(["", *tokens], tokens, strict=False) if y else ():
-            for f in forms(w):
-                if f in telling:
-                    contexts[f].add(before)
-    telling = {f for f in telling if len(contexts[f]) >= TELLING_DOCS}
+    toxic = [tokens for tokens, y in texts if y]
+    telling = _telling(toxic, clean, rate, min(TELLING_DOCS, max(3, math.ceil(0.05 * sizes[1]))))
+    unexplained = [t for t in toxic if not any(f in telling for w in t for f in forms(w))]
+    telling |= _telling(unexplained, clean, rate, min(WEAK_DOCS, max(3, math.ceil(0.05 * sizes[1]))))
     tag = lambda w: any(f in telling for f in forms(w))
 
     stretches: list[tuple[list[str], list[int]]] = []
@@ -217,6 +215,20 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, rounds: int = 25) -> C
     return crf
 
 
+def _telling(toxic: list[list[str]], clean: Counter, rate: float, least: int) -> set[str]:
+    """Forms that least of the token lists hold, after least different words, and clean ones at most rate as often."""
+    held: Counter = Counter()
+    for tokens in toxic:
+        held.update({f for w in set(tokens) for f in forms(w)})
+    contexts: dict[str, set[str]] = {f: set() for f, n in held.items() if n >= least and clean[f] <= rate * n}
+    for tokens in toxic:
+        for before, w in zip(["", *tokens], tokens, strict=False):
+            for f in forms(w):
+                if f in contexts:
+                    contexts[f].add(before)
+    return {f for f, c in contexts.items() if len(c) >= least}
+
+
 def _likelihood_gradient(emission: np.ndarray, tags: np.ndarray, mask: np.ndarray, joints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Observed minus expected tags, and tag pairs, of padded stretches."""
     n, width = emission.shape
