@@ -43,15 +43,19 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """df, computed once into the shared folder: later readers survive the loss of any executor."""
+    return written_at(spark, df, label)[0]
+
+
+def written_at(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same, with its path, for stages that are discarded once their successor is written."""
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stage that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

@@ -1,6 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Every step is two shuffles of the links; each step's links are written to the shared folder, which cuts the lineage.
+Every step is two shuffles of the links; each step's links are written to the shared folder, which cuts the lineage,
+and the step's before are deleted.
 A vertex with many links is never gathered: stars are formed with a minimum per vertex, pre-aggregated before the
 shuffle, and joined back.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import written
+from textveil.llm.common import discard, written_at
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,11 +20,13 @@ def components(links: DataFrame) -> DataFrame:
     Defined cases: links of a vertex to itself and repeated links change nothing; no links give no rows.
     """
     spark = links.sparkSession
-    edges = written(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges, path = written_at(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         large = _star(edges, both=True)
-        edges = written(spark, _star(large, both=False).distinct(), "links")
+        edges, new_path = written_at(spark, _star(large, both=False).distinct(), "links")
+        discard(spark, path)
+        path = new_path
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import small_batches, written
+from textveil.llm.common import discard, small_batches, written, written_at
 
 WINDOW, GRAM = 400, 100
 #: Windows hashed at a time; bounds memory for long texts.
@@ -285,10 +285,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
     spark = docs.sparkSession
     small_batches(spark)
     rows = _keyed(docs)
-    found = written(spark, _anchor_rows(rows, window, gram), "anchors")
+    found, every = written_at(spark, _anchor_rows(rows, window, gram), "anchors")
     # written first: joined as a table of its own, a hot anchor's rows can be split over tasks
-    twice = written(spark, found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors-known")
+    twice, known = written_at(spark, found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors-known")
     found = written(spark, found.join(twice, "anchor", "left_semi"), "anchors-twice")
+    for path in (every, known):
+        discard(spark, path)
     counted = written(spark, _counted(found, F.count("*")), "anchor-strings")
     name = ["anchor", "place", "n", "whole"]
     span = [F.col("d"), F.col("t"), F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + window).alias("b")]
