@@ -34,6 +34,8 @@ from textveil.llm.chunk_bpe import Cache
 from textveil.llm.common import id_and_text, small_batches
 
 BLANK = "▁"
+#: Answers about neighbouring pieces that a worker keeps.
+PAIRS = 300_000
 
 
 class PieceModel:
@@ -55,6 +57,9 @@ class PieceModel:
         self.lowest = min((s for _, s in pieces.values()), default=0.0) - 10.0
         self._whole: dict[str, bool] = {}
         self._joint: dict[str, int] = {}
+        self._pairs: dict[tuple[str, str], bool] = {}
+        #: Pieces that a path may use: for merging, those that merge to themselves.
+        self.usable = frozenset(p for p in pieces if kind == "unigram" or self.whole(p))
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -110,7 +115,16 @@ class PieceModel:
         return before[0], before[1]
 
     def neighbours(self, a: str, b: str) -> bool:
-        """Whether a and b, merged together, stay as they are.
+        """Whether a and b, merged together, stay as they are; answers are kept, up to a bound."""
+        known = self._pairs.get((a, b))
+        if known is None:
+            if len(self._pairs) >= PAIRS:
+                self._pairs.clear()
+            known = self._pairs[a, b] = self._stay_apart(a, b)
+        return known
+
+    def _stay_apart(self, a: str, b: str) -> bool:
+        """neighbours, worked out.
 
         Undo the later of the two last joints again and again; if some joint across the border would have come before
         the joint just undone (a tie goes to the left), merging crosses the border.
@@ -155,28 +169,40 @@ class StreamingViterbi:
 
     def feed(self, text: str) -> None:
         m = self.model
-        for ch in text:
-            self.text += ch
-            j = len(self.text)
-            best: tuple[int, float] | None = None
-            for i in range(max(0, j - m.longest), j):
-                piece = self.text[i:j]
-                found = m.pieces.get(piece)
-                if m.kind == "unigram":
-                    if found or i == j - 1:
-                        score = self.back[i][1] + (found[1] if found else m.lowest)
-                        if self.back[i][0] >= 0 and (best is None or score > best[1]):
-                            best = i, score
-                elif (found and m.whole(piece)) or i == j - 1:
-                    before = self.last if i == 0 else self.text[self.back[i][0] : i]
-                    if not before or m.neighbours(before, piece):
-                        best = i, 0.0
-                        break
-            self.back.append(best)
+        step = self._score if m.kind == "unigram" else self._merge
+        for k in range(0, len(text), m.longest):
+            start = len(self.text)
+            self.text += text[k : k + m.longest]
+            step(start)
             self.held = max(self.held, len(self.back))
-            if j >= 2 * m.longest:
+            if len(self.text) >= 2 * m.longest:
                 self._commit()
 
+    def _merge(self, start: int) -> None:
+        """Backpointers of the positions after start: the one edge that the path before it allows."""
+        text, back, longest, usable, neighbours, last = self.text, self.back, self.model.longest, self.model.usable, self.model.neighbours, self.last
+        for j in range(start + 1, len(text) + 1):
+            for i in range(j - longest if j > longest else 0, j):
+                piece = text[i:j]
+                if piece in usable or i == j - 1:
+                    before = text[back[i][0] : i] if i else last
+                    if not before or neighbours(before, piece):
+                        back.append((i, 0.0))
+                        break
+
+    def _score(self, start: int) -> None:
+        """Backpointers of the positions after start: the edge with the best sum of scores."""
+        text, back, m = self.text, self.back, self.model
+        for j in range(start + 1, len(text) + 1):
+            best: tuple[int, float] | None = None
+            for i in range(max(0, j - m.longest), j):
+                found = m.pieces.get(text[i:j])
+                if found or i == j - 1:
+                    score = back[i][1] + (found[1] if found else m.lowest)
+                    if best is None or score > best[1]:
+                        best = i, score
+            back.append(best)
+
     def _commit(self) -> None:
         """Commit up to the furthest boundary that the paths of all positions still in reach share."""
         live = set(range(max(0, len(self.text) - self.model.longest + 1), len(self.text) + 1))
