@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
-Defined cases are those of the operators; rows with null columns pass through, and an empty table stays empty.
+Defined cases are those of the operators; copies are dropped by row, so null and repeated ids lose no text; rows with
+null columns pass through, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
+    """Of equal texts exactly one row stays, one with the smallest doc_id."""
     return exact_dedup.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by their fingerprints the one with the smallest doc_id stays."""
+    """Of texts linked by their fingerprints exactly one row stays, one with the smallest doc_id."""
     return simhash.keep_one(docs, words=3, radius=2)
 
 

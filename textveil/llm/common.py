@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python. Texts are long; small batches bound a worker's memory.
@@ -65,3 +65,33 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     Other columns, whatever their names, are left behind before any join, so they cannot clash.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+KEY = ["d", "t", "u"]
+
+
+def row_key() -> list[Column]:
+    """d, t, u name a row by its doc_id and text (two hashes); a null doc_id counts as the largest, a null text as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u")]
+
+
+def one_of_each(docs: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
+    """docs with one row of each group, all columns as they were; rows that are no members stay.
+
+    members: d, t, u and the columns of group, a row for each row. The row with the least doc_id stays, of equal ids
+    that with the least hash of its text. Rows that share both are gathered, and the least as JSON stays: nothing
+    depends on where a row lies.
+    """
+    spark = docs.sparkSession
+    spots = written(spark, members.groupBy(*group, *KEY).agg(F.count("*").alias("times")), "spots")
+    firsts = spots.groupBy(*group).agg(F.min(F.struct(*KEY)).alias("first"), F.sum("times").alias("rows")).where("rows > 1")
+    marks = spots.join(firsts, group).select(*KEY, "times", (F.struct(*KEY) == F.col("first")).alias("stays"))
+    marks = written(spark, marks.where("not stays or times > 1"), "marks")
+    rows = docs.select(*row_key(), F.struct("*").alias("row"))
+    kept = rows.join(marks, KEY, "left_anti").select("row.*")
+    repeated = marks.where("stays")
+    if repeated.isEmpty():
+        return kept
+    least = rows.join(repeated, KEY, "left_semi").groupBy(*KEY).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(least.select("row.*"))

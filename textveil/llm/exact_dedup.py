@@ -6,9 +6,10 @@ both. Full content is hashed only for rows that outlive the first two rounds. Ro
 texts, and each pre-aggregates before its shuffle; the joins back to the rows are plain equi-joins, whose hot keys
 adaptive execution splits.
 
-Defined cases: a null text is empty, and empty texts equal each other; of equal rows the smallest doc_id stays, and
-rows that repeat that doc_id stay with it; a null doc_id stays only if its group has no other; an empty table gives
-no rows; other columns, whatever their names, pass through keep_first() and are ignored elsewhere.
+Defined cases: a null text is empty, and empty texts equal each other; an empty table gives no rows; other columns,
+whatever their names, pass through keep_first() and are ignored elsewhere. exact_duplicates() judges by doc_id: the
+smallest of a group is kept, and rows that repeat it are marked kept with it. keep_first() drops by row: exactly one
+row of each group stays, one with the smallest doc_id, or with none if the group has no other.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import BLANKS, id_and_text, written
+from textveil.llm.common import BLANKS, KEY, one_of_each, row_key, written
 
 PREFIX_CHARS = 64
 
@@ -25,22 +26,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
 
 
-def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """full (SHA-256, hex), keep_id, group_size of every group of two or more equal texts.
+def _survivors(docs: DataFrame, prefix_chars: int, *own: Column) -> DataFrame:
+    """n, full (SHA-256, hex) and the columns own of the rows that share length and prefix with another.
 
     The first scan keeps 24 bytes a row for the rounds by length and by prefix. The second reads texts again; the
     semi-join lets only rows of surviving (length, prefix) groups through to the full hash.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text")).select(
-        "doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64(F.substring("text", 1, prefix_chars)).alias("head")
+    sized = docs.select(F.struct(*own).alias("own"), normalised(F.col("text")).alias("text")).select(
+        "own.*", "text", F.octet_length("text").alias("n"), F.xxhash64(F.substring("text", 1, prefix_chars)).alias("head")
     )
     keys = written(spark, sized.select("n", "head"), "exact-keys")
     lengths = keys.groupBy("n").agg(F.count("*").alias("rows")).where("rows > 1").select("n")
     heads = keys.join(lengths, "n", "left_semi").groupBy("n", "head").agg(F.count("*").alias("rows")).where("rows > 1")
-    survivors = sized.join(heads.select("n", "head"), ["n", "head"], "left_semi")
+    return sized.join(heads.select("n", "head"), ["n", "head"], "left_semi").withColumn("full", F.sha2("text", 256)).drop("text", "head")
+
+
+def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """full (SHA-256, hex), keep_id, group_size of every group of two or more equal texts."""
     return (
-        survivors.select("n", F.sha2("text", 256).alias("full"), "doc_id")
+        _survivors(docs, prefix_chars, F.col("doc_id").cast("long").alias("doc_id"))
         .groupBy("n", "full")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
@@ -62,7 +67,5 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
 
 
 def keep_first(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """docs without the rows that repeat an earlier text, all columns as they were."""
-    verdicts = exact_duplicates(docs, prefix_chars)
-    dropped = verdicts.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """docs with exactly one row of each group of equal texts, all columns as they were."""
+    return one_of_each(docs, _survivors(docs, prefix_chars, *row_key()).select("n", "full", *KEY), ["n", "full"])

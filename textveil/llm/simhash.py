@@ -8,8 +8,8 @@ tile pairs are compared in full with exclusive-or and bit counts. A tile pair pa
 links, which keeps every component and at most one row a fingerprint.
 
 Defined cases: a null or empty text, or one of blanks, has fingerprint zero, which links like any other; a text of
-fewer words than a shingle is one shingle; repeated rows give a row each; an empty table gives no rows; other columns
-are ignored.
+fewer words than a shingle is one shingle; repeated rows give a row each, and keep_one() keeps one of them; an empty
+table gives no rows; other columns pass through keep_one() and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import id_and_text, small_batches, written
+from textveil.llm.common import id_and_text, one_of_each, row_key, small_batches, written
 from textveil.llm.components import components
 
 SEED = 42
@@ -49,16 +49,22 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
+def _printed(rows: DataFrame, words: int) -> DataFrame:
+    """rows (longs, and the text last) with the fingerprint, fp, as a signed long in place of the text."""
+    small_batches(rows.sparkSession)
+    names = [*rows.columns[:-1], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, words) for t in batch.column(len(names) - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=names)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long."""
+    return _printed(id_and_text(docs), words)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
@@ -138,6 +144,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; all columns as they were."""
-    gone = near_duplicates(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """docs with exactly one row of each component, one with the smallest doc_id; all columns as they were."""
+    spark = docs.sparkSession
+    prints = written(spark, _printed(docs.select(*row_key(), F.coalesce(F.col("text"), F.lit("")).alias("text")), words), "fingerprints")
+    classes = written(spark, prints.select("fp").distinct(), "classes")
+    roots = components(links(classes, radius))
+    placed = classes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return one_of_each(docs, prints.join(placed, "fp"), ["root"])
