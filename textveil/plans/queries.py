@@ -11,7 +11,7 @@ from textveil.config import SentenceConfig, TokenConfig
 from textveil.functions import dp, scores
 from textveil.functions import text as T
 from textveil.operators import corpus as C
-from textveil.operators import evaluate, lexicon, privatize, reports, rewrite, triage
+from textveil.operators import evaluate, lexicon, neighbours, privatize, reports, rewrite, triage
 from textveil.sources import csv, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +367,13 @@ def embedding_topk(spark, sf):
     return e.crossJoin(F.broadcast(vocabulary)).select("vec_id", F.explode(best).alias("c")).select("vec_id", (-F.col("c.o")).alias("word"), F.round("c.score", 6).alias("score"))
 
 
+@register()
+def embedding_nearest(spark, sf):
+    """Every vector against all vectors: the eight best by cosine. embedding_topk is the part that its SQL can hold."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return neighbours.nearest(e, 8).withColumn("score", F.round("score", 6))
+
+
 def _proposals(spark, sf) -> DataFrame:
     """conv_id, turn, text and the next turns as candidates."""
     t = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
