@@ -1,8 +1,12 @@
 """Registered queries without SQL, over whole tables, against brute force."""
 
+import collections
+
 import numpy as np
 import pytest
+import regex
 
+from textveil.functions import text as T
 from textveil.operators import neighbours
 from textveil.plans import queries
 
@@ -40,3 +44,26 @@ def test_the_nearest_are_sought_among_all_vectors(spark, tables, monkeypatch, si
     assert len(got) == 8 * len(rows) and set(got) == brute_nearest(rows, 8)
     assert max(w for _, w, _ in got) >= 32
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, v array<double>")).count() == 0
+
+
+TEXTS = ["Sooo naïveee, ÉÉÉCOLE école u", "don’t DON’T dont well-known", "r2d2 10000 ١٢ U2 see https://x.org/aaa @youuu #soooo", "Привеееет мир МИР", "großßße straße", "", None, "_under_ snake_case plz plz"]
+
+
+def brute_words(texts):
+    token = r"(?:https?://|www\.)\S+|@\w+|#\w+|[^\W_]+(?:['’\-][^\W_]+)*"
+    found = collections.Counter(t for x in texts for t in regex.findall(token, x or "") if not regex.match(r"https?://|www\.|@|#", t))
+    want = set()
+    for word, n in found.items():
+        low = word.lower()
+        short = regex.sub(r"(.)\1{2,}", r"\1", low)
+        fixed = T.MISSPELLINGS.get(short, short)
+        names = (("lowercased", low != word), ("de-elongated", short != low), ("misspelling", fixed != short))
+        want.add((word, n, fixed, "+".join(k for k, changed in names if changed)))
+    return want
+
+
+def test_every_word_is_normalised(spark, tables):
+    sf = tables("documents", list(enumerate(TEXTS)), "doc_id long, text string")
+    got = [tuple(x) for x in queries.QUERIES["normalize_words"](spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_words(TEXTS)
+    assert {"naïveee", "don’t", "r2d2", "10000", "Привеееет"} <= {x[0] for x in got}

@@ -124,6 +124,13 @@ def normalize_word_reasons(spark, sf):
     return words.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", T.normalize_word(F.col("word")).alias("normalized"), T.word_reasons(F.col("word")).alias("reasons"))
 
 
+@register()
+def normalize_words(spark, sf):
+    """Every word token. normalize_word_reasons is the ASCII part that its SQL can hold."""
+    words = docs(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("word")).where(T.kind(F.col("word")) == "word")
+    return words.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", T.normalize_word(F.col("word")).alias("normalized"), T.word_reasons(F.col("word")).alias("reasons"))
+
+
 @register(f"SELECT t AS token, {sql_skeleton('t')} AS skeleton, regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS alnum_key FROM (SELECT DISTINCT unnest(string_split_regex(coalesce(text, ''), '[ \\n]+')) AS t FROM documents) WHERE t <> ''")
 def skeletons(spark, sf):
     found = docs(spark, sf).select(F.explode(F.split("text", r"[ \n]+", -1)).alias("token")).where("token <> ''").distinct()
