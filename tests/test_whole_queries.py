@@ -67,3 +67,35 @@ def test_every_word_is_normalised(spark, tables):
     got = [tuple(x) for x in queries.QUERIES["normalize_words"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_words(TEXTS)
     assert {"naïveee", "don’t", "r2d2", "10000", "Привеееет"} <= {x[0] for x in got}
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_ratios_count_every_character(spark, tables):
+    said = ["Привет мир", "Привет миру", "école", "ecole", "日本", "日本語 😀", "", None, "plain", "plain"]
+    sf = tables("conversations", [(0, i, "user", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string")
+    got = {r.turn: r.edit_ratio for r in queries.QUERIES["edit_ratio"](spark, sf).collect()}
+    pairs = [(a or "", b or "") for a, b in zip(said, said[1:], strict=False)]
+    assert got == {i: round(brute_distance(a, b) / max(len(a), len(b), 1), 9) for i, (a, b) in enumerate(pairs)}
+    assert got[0] > 0 and got[2] > 0
+
+
+def test_whole_texts_are_normalised(spark, tables):
+    texts = ["wow!!! ok… “so”—what??", "a  b\n\tc", "😀 smile 😀👍🏽", "...,,, --- ‘’x’’", "no marks", "", None]
+    sf = tables("documents", list(enumerate(texts)), "doc_id long, text string")
+
+    def plain(t):
+        t = regex.sub(r"[\p{Extended_Pictographic}\U0001F1E6-\U0001F1FF\uFE0F\u200D]", "", t or "")
+        t = t.translate({ord(k): v for k, v in T.MARKS.items()}).replace("…", "...")
+        return regex.sub(r"\s+", " ", regex.sub(r"([^\w\s])\1+", r"\1", t))
+
+    got = {r.doc_id: r.plain for r in queries.QUERIES["normalize_texts"](spark, sf).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert got[0] == 'wow! ok. "so"-what?'

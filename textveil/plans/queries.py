@@ -109,6 +109,12 @@ def normalize_sep(spark, sf):
     return docs(spark, sf).select("doc_id", F.regexp_replace(plain, r"(?U)\s+", " ").alias("plain"))
 
 
+@register()
+def normalize_texts(spark, sf):
+    """Whole texts with production settings. normalize_sep is the part that its SQL can hold."""
+    return docs(spark, sf).select("doc_id", T.normalize_sep(F.col("text"), TOKENS.normalisation).alias("plain"))
+
+
 SQL_SHORT = "list_reduce(list_prepend(lower(t), string_split('abcdefghijklmnopqrstuvwxyz', '')), lambda acc, c: regexp_replace(acc, c || '{3,}', c, 'g'))"
 SQL_FIX = "CASE s " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in T.MISSPELLINGS.items()) + " ELSE s END"
 
@@ -154,10 +160,17 @@ def edit_ratio_ascii(spark, sf):
     return turns(spark, sf, r"[^\x00-\x7F]").select("conv_id", "turn", F.round(T.edit_ratio(F.col("a"), F.col("b")), 9).alias("edit_ratio"))
 
 
-def turns(spark, sf, dropped: str) -> DataFrame:
+@register()
+def edit_ratio(spark, sf):
+    """Neighbouring turns of a conversation, all characters. edit_ratio_ascii is the part that its SQL can hold."""
+    return turns(spark, sf).select("conv_id", "turn", F.round(T.edit_ratio(F.col("a"), F.col("b")), 9).alias("edit_ratio"))
+
+
+def turns(spark, sf, dropped: str | None = None) -> DataFrame:
     from pyspark.sql import Window
 
-    t = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), dropped, "").alias("a"))
+    text = F.coalesce("text", F.lit(""))
+    t = table(spark, sf, "conversations").select("conv_id", "turn", (F.regexp_replace(text, dropped, "") if dropped else text).alias("a"))
     return t.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
 
 
