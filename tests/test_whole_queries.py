@@ -99,3 +99,16 @@ def test_whole_texts_are_normalised(spark, tables):
     got = {r.doc_id: r.plain for r in queries.QUERIES["normalize_texts"](spark, sf).collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
     assert got[0] == 'wow! ok. "so"-what?'
+
+
+def test_every_later_turn_is_a_candidate_and_must_hold_the_terms(spark, tables):
+    first = "what a clown he is today"
+    later = ["what a fine man he is today", *(f"turn {w} is about {w} alone" for w in ("tea", "sea", "pie", "sky", "fog", "ice")), "what a c l o w n he was back then", "he is what a clown"]
+    rows = [(7, i, "user", t) for i, t in enumerate([first, *later])] + [(8, 0, "user", "alone")]
+    sf = tables("conversations", rows, "conv_id long, turn int, role string, text string")
+    pruned = {r.conv_id: r.k for r in queries.QUERIES["prune_greedy"](spark, sf).collect()}
+    assert pruned == {7: len(later), 8: 0}
+    gates = {r.place: r.reject for r in queries.QUERIES["filter_gates"](spark, sf).collect()}
+    assert len(gates) == len(later) and all((gates[i] == "span") == (i < 7) for i in gates), gates
+    chosen = {r.conv_id: r for r in queries.QUERIES["select_candidate"](spark, sf).collect()}
+    assert chosen[7].k_valid == sum(g == "" for g in gates.values()) and chosen[8].reason == "no_candidates"

@@ -123,6 +123,11 @@ def table_proposals(x_priv: Column, text: Column, k: int) -> Column:
     return F.slice(F.array_distinct(F.array(x_priv, *shorter)), 1, k)
 
 
+def term_skeletons_of(canonical: Column) -> Column:
+    """Skeletons of a text's protected terms: what its candidates must hold."""
+    return F.filter(F.array_sort(F.array_distinct(F.transform(canonical, T.skeleton))), lambda s: F.length(s) >= 3)
+
+
 def rewrite(rows: DataFrame, tokens: TokenConfig, config: SentenceConfig, proposer: Callable[[Column, Column, int], Column] = table_proposals, triage: bool = True) -> DataFrame:
     """row_idx, Text, result, audit for rows (row_idx, Text): route, sanitise, propose, prune, gate, choose.
 
@@ -143,8 +148,7 @@ def rewrite(rows: DataFrame, tokens: TokenConfig, config: SentenceConfig, propos
     from dataclasses import replace
 
     done = privatize(prepared, replace(tokens, epsilon=share), keep, force)
-    skeletons = F.filter(F.array_sort(F.array_distinct(F.transform(canonical, T.skeleton))), lambda s: F.length(s) >= 3)
-    done = done.withColumn("canonicals", canonical).withColumn("_skeletons", skeletons)
+    done = done.withColumn("canonicals", canonical).withColumn("_skeletons", term_skeletons_of(canonical))
     if config.generation == "none":
         audit = F.struct(F.lit(True).alias("fallback"), F.lit("generation_disabled").alias("fallback_reason"), F.lit(0).alias("k_generated"), F.lit(0).alias("k_after_prune"), F.lit(0).alias("k_valid"))
         return done.select("row_idx", "Text", F.col("x_priv").alias("result"), audit.alias("audit"))

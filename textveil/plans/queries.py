@@ -395,10 +395,10 @@ def embedding_nearest(spark, sf):
 
 
 def _proposals(spark, sf) -> DataFrame:
-    """conv_id, turn, text and the next turns as candidates."""
+    """conv_id, the text of the first turn and all later turns as candidates."""
     t = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     all_turns = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
-    return all_turns.select("conv_id", F.get("turns", F.lit(0))["text"].alias("text"), F.transform(F.slice("turns", 2, 6), lambda x: x["text"]).alias("candidates"))
+    return all_turns.select("conv_id", F.get("turns", F.lit(0))["text"].alias("text"), F.transform(F.slice("turns", F.lit(2), F.size("turns")), lambda x: x["text"]).alias("candidates"))
 
 
 @register()
@@ -408,8 +408,8 @@ def prune_greedy(spark, sf):
 
 
 def _details(spark, sf) -> DataFrame:
-    none = F.array().cast("array<string>")
-    return _proposals(spark, sf).withColumn("details", rewrite.gated(F.col("candidates"), F.col("text"), none, SENTENCES))
+    p = _proposals(spark, sf).withColumn("skeletons", rewrite.term_skeletons_of(lexicon.protected_terms(F.col("text"), TOKENS.terms, TOKENS.max_gap)))
+    return p.withColumn("details", rewrite.gated(F.col("candidates"), F.col("text"), F.col("skeletons"), SENTENCES))
 
 
 @register()
