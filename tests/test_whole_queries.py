@@ -5,9 +5,10 @@ import collections
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from textveil.functions import text as T
-from textveil.operators import neighbours
+from textveil.operators import neighbours, triage
 from textveil.plans import queries
 
 
@@ -112,3 +113,10 @@ def test_every_later_turn_is_a_candidate_and_must_hold_the_terms(spark, tables):
     assert len(gates) == len(later) and all((gates[i] == "span") == (i < 7) for i in gates), gates
     chosen = {r.conv_id: r for r in queries.QUERIES["select_candidate"](spark, sf).collect()}
     assert chosen[7].k_valid == sum(g == "" for g in gates.values()) and chosen[8].reason == "no_candidates"
+
+
+def test_a_token_that_matters_only_in_context_is_tried(spark):
+    df = spark.createDataFrame([(0, "you are half witted today"), (1, "half of it")], "row_idx long, Text string")
+    phrase = lambda t: F.contains(t, F.lit("half witted")).cast("double")
+    found = [(r.row_idx, r.token, r.start, r.end) for r in triage.saliency_routes(df, score=phrase).collect()]
+    assert sorted(found) == [(0, "half", 8, 12), (0, "witted", 13, 19)]

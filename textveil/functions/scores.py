@@ -48,6 +48,10 @@ def keyword_share(text: Column) -> Column:
     return F.lit(1.0) - F.pow(F.lit(0.5), F.size(F.filter(words, lambda w: w.isin(*KEYWORDS))).cast("double"))
 
 
+#: It counts words: a token without keywords changes no text's score.
+keyword_share.additive = True
+
+
 def hate_probability(logits: Column, names: Sequence[str], multi_label: bool, label: str = "toxicity") -> Column:
     """From a model's logits: the named label's sigmoid, or the softmax mass of labels that mean hate (else the last)."""
     lower = [n.lower() for n in names]

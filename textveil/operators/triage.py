@@ -40,11 +40,12 @@ def _row_window():
 def saliency_routes(rows: DataFrame, threshold: float = 0.15, score: Callable[[Column], Column] = keyword_share) -> DataFrame:
     """Tokens whose removal lowers the text's score by threshold or more: Q1, protect.
 
-    score: a Column function. The text without a token has blanks of equal length in its place.
+    score: a Column function. The text without a token has blanks of equal length in its place. Every token is tried,
+    unless score says (score.additive) that a token which scores as a blank does alone changes no text's score.
     """
     found = words(rows).join(rows.select("row_idx", F.coalesce("Text", F.lit("")).alias("Text")).withColumn("base", score(F.col("Text"))).where("base >= 0"), "row_idx")
-    # a token can only lower the score if the score of the token alone is not that of a blank
-    found = found.where(score(F.col("token")) != score(F.lit("")))
+    if getattr(score, "additive", False):
+        found = found.where(score(F.col("token")) != score(F.lit("")))
     hidden = F.concat(F.substring("Text", F.lit(1), F.col("start")), F.repeat(F.lit(" "), F.length("token")), F.substring(F.col("Text"), F.col("end") + 1, F.length("Text")))
     drop = F.col("base") - score(hidden)
     return found.withColumn("drop", drop).where(F.col("drop") >= threshold).select(
