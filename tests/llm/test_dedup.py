@@ -6,11 +6,13 @@ import re
 
 import pytest
 
-from textveil.llm import exact_dedup, simhash, suffix_dedup
+from textveil.llm import common, exact_dedup, simhash, suffix_dedup
 from textveil.llm.components import components
 
 
-def test_exact_copies(spark, docs, texts):
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_exact_copies(spark, docs, texts, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rows = [*texts, (2, texts[2][1]), (None, texts[3][1]), (None, "alone")]
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
     groups = {}
@@ -30,6 +32,17 @@ def test_exact_copies(spark, docs, texts):
     assert exact_dedup.exact_duplicates(docs([])).count() == 0
 
 
+def test_no_round_shuffles_texts(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "written", lambda s, df, label: plans.append(df) or common.written(s, df, label))
+    plans = []
+    plans.append(exact_dedup.exact_duplicates(docs(texts)))
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joined = [line for line in plan.splitlines() if "Join" in line]
+        assert not any("text#" in line for line in joined), plan
+
+
 def test_a_hot_length_and_prefix_is_split_by_the_full_hash(docs):
     rows = [(i, "p" * 80 + str(i % 7)) for i in range(200)]
     out = exact_dedup.exact_duplicates(docs(rows)).collect()

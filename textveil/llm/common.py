@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ BATCH_ROWS = 512
 #: ASCII white space, the only characters that the text contracts treat as blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+#: Key tables of up to this many rows (some tens of bytes each) are broadcast, after they are counted; larger ones are
+#: joined by shuffle, with the same rows as a result.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,10 +32,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session that names none (tests, a notebook on one machine) gets a folder of its own.
+    A session on one machine that names none (tests, a notebook) gets a folder of its own. A cluster's must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="textveil-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -49,10 +58,44 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 def written_at(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The same, with its path, for stages that are discarded once their successor is written."""
     path = new_path(spark, label)
+    for held in _open:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, all stages written inside but those that the caller takes out of the list it gets."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [held for held in _open if held is not made]
+        for path in made:
+            discard(spark, path)
+
+
+def only(rows: DataFrame, wanted: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """rows whose columns `on` are (left_semi) or aren't (left_anti) in wanted, which should be a written table.
+
+    wanted holds the columns `on`, each combination once. Where it is small by count, rows aren't shuffled, so a hot
+    key cannot gather them in one task. Else rows meet it by shuffle with the columns that they have, no more: an inner
+    join, since a semi-join would be moved below what makes those columns from texts.
+    """
+    few = bounded(wanted)
+    return rows.join(few, on, how) if few is not wanted or how != "left_semi" else rows.join(wanted, on).select(*rows.columns)
+
+
+def bounded(wanted: DataFrame) -> DataFrame:
+    """wanted, marked to be broadcast if it is small by count."""
+    return F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stage that no later plan reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,9 +132,9 @@ def one_of_each(docs: DataFrame, members: DataFrame, group: list[str]) -> DataFr
     marks = spots.join(firsts, group).select(*KEY, "times", (F.struct(*KEY) == F.col("first")).alias("stays"))
     marks = written(spark, marks.where("not stays or times > 1"), "marks")
     rows = docs.select(*row_key(), F.struct("*").alias("row"))
-    kept = rows.join(marks, KEY, "left_anti").select("row.*")
-    repeated = marks.where("stays")
+    kept = only(rows, marks.select(*KEY), KEY, "left_anti").select("row.*")
+    repeated = marks.where("stays").select(*KEY)
     if repeated.isEmpty():
         return kept
-    least = rows.join(repeated, KEY, "left_semi").groupBy(*KEY).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    least = only(rows, repeated, KEY).groupBy(*KEY).agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.unionByName(least.select("row.*"))
