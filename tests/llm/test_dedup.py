@@ -78,9 +78,8 @@ def test_links_within_and_between_tiles(spark):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(30)]
     values = {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(20)} | set(base)
-    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    found = simhash.links(spark.createDataFrame(signed, "fp long"), 2, tile=4).collect()
-    unsigned = lambda x: x & (1 << 64) - 1
+    found = simhash.links(spark.createDataFrame([(f"{v:016x}",) for v in values], "fp string"), 2, tile=4).collect()
+    unsigned = lambda x: int(x, 16)
     assert all((unsigned(x.a) ^ unsigned(x.b)).bit_count() <= 2 for x in found)
 
     def parts(pairs):
@@ -99,6 +98,32 @@ def test_links_within_and_between_tiles(spark):
     assert parts([(unsigned(x.a), unsigned(x.b)) for x in found]) == parts(every)
 
 
+@pytest.mark.parametrize("radius", [3, 5])
+def test_a_check_confirms_links(spark, docs, texts, radius):
+    check = simhash.Check(words=5, radius=24)
+    rows = [(i, t or "") for i, t in texts] + [(600 + k, texts[k][1].replace("a", "A", 1) + " more words") for k in range(12)]
+    records = [simhash._record(t, 1, check) for _, t in rows]
+    apart = lambda x, y, s: (int.from_bytes(x[s], "big") ^ int.from_bytes(y[s], "big")).bit_count()
+    part = list(range(len(rows)))
+    for i, x in enumerate(records):
+        for j in range(i):
+            if x == records[j] or apart(x, records[j], slice(8)) <= radius and apart(x, records[j], slice(8, 24)) <= 24:
+                a, b = part[i], part[j]
+                part = [min(a, b) if p in (a, b) else p for p in part]
+    assert len(set(part)) < len({t for _, t in rows}) - 8
+    kept = simhash.keep_one(docs(rows), 1, radius, check)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({p: min(rows[i][0] for i in range(len(rows)) if part[i] == p) for p in part}.values())
+
+
+def test_a_large_group_passes_on_a_forest():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    a = (np.uint64(1) << r.integers(0, 64, 3000, dtype=np.uint64)).reshape(-1, 1)
+    found = list(simhash._forest(a, a, 2, True, None))
+    assert len(found) == len(a) - 1
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (7, 7), (20, 4), *((100 + i, 101 + i) for i in range(30)), *((1000, 1001 + i) for i in range(30))]
     got = {r.vertex: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
