@@ -12,12 +12,13 @@ Two kinds of model choose among paths:
   neighbours. Every prefix then has one path. The best sum of scores would give other ids than the library's.
 
 Paths always meet before a blank sign that follows another character and around a character that no longer piece
-contains, since no piece reaches across; there the text is cut before the lattice is built and the ids of the part
-are looked up in a bounded cache.
+contains, since no piece reaches across. So words whose ids a worker has met lately are looked up, and the unknown ones
+of a text run through one lattice end to end, as does a stretch without blanks of whatever length.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; a character without a piece becomes the
-byte pieces of its UTF-8 form, or the unknown id where the model has none; repeated rows give a row each; an empty
-table gives no rows; other columns are ignored.
+byte pieces of its UTF-8 form, or the unknown id where the model has none; U+2581 in a text is the model's own sign for a
+blank, decodes to one and so breaks the round trip, which is reported; repeated rows give a row each; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from textveil.llm.common import id_and_text, small_batches
 BLANK = "▁"
 #: Answers about neighbouring pieces that a worker keeps.
 PAIRS = 300_000
+#: Longest pieces that are fed between two commits.
+STEP = 4
 
 
 class PieceModel:
@@ -60,6 +63,12 @@ class PieceModel:
         self._pairs: dict[tuple[str, str], bool] = {}
         #: Pieces that a path may use: for merging, those that merge to themselves.
         self.usable = frozenset(p for p in pieces if kind == "unigram" or self.whole(p))
+        ends: dict[str, set[int]] = {}
+        for p in self.usable:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: Lengths of the usable pieces that end in two given characters, the longest first.
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -157,80 +166,98 @@ class PieceModel:
 
 
 class StreamingViterbi:
-    """Feed text in any cuts; committed() gives the ids that are final so far."""
+    """Feed text in any cuts; committed() gives the pieces that are final so far."""
 
     def __init__(self, model: PieceModel):
         self.model = model
         self.text = ""  # from the last committed boundary on
-        self.back: list[tuple[int, float]] = [(0, 0.0)]  # of each position: where its last piece starts, the path's score
-        self.out: list[int] = []
+        self.back = [0]  # of each position: where its last piece starts
+        self.score = [0.0]  # of each position, for unigram: the path's score
+        self.out: list[str] = []
         self.last = ""  # the last committed piece
         self.held = 0  # most positions held at once
 
     def feed(self, text: str) -> None:
         m = self.model
-        step = self._score if m.kind == "unigram" else self._merge
-        for k in range(0, len(text), m.longest):
+        step, size = (self._score if m.kind == "unigram" else self._merge), STEP * m.longest
+        for k in range(0, len(text), size):
             start = len(self.text)
-            self.text += text[k : k + m.longest]
+            self.text += text[k : k + size]
             step(start)
             self.held = max(self.held, len(self.back))
-            if len(self.text) >= 2 * m.longest:
+            if len(self.text) > m.longest:
                 self._commit()
 
     def _merge(self, start: int) -> None:
         """Backpointers of the positions after start: the one edge that the path before it allows."""
-        text, back, longest, usable, neighbours, last = self.text, self.back, self.model.longest, self.model.usable, self.model.neighbours, self.last
+        m, text, back, last = self.model, self.text, self.back, self.last
+        ends, usable, pairs, neighbours, leads = m.ends, m.usable, m._pairs, m.neighbours, m.blank_leads
         for j in range(start + 1, len(text) + 1):
-            for i in range(j - longest if j > longest else 0, j):
+            for length in ends.get(text[j - 2 : j], ()) if j > 1 else ():
+                i = j - length
+                if i < 0 or text[i:j] not in usable:
+                    continue
+                before = text[back[i] : i] if i else last
+                if not before or leads and text[i] == BLANK and before[-1] != BLANK:
+                    break  # no piece reaches across
                 piece = text[i:j]
-                if piece in usable or i == j - 1:
-                    before = text[back[i][0] : i] if i else last
-                    if not before or neighbours(before, piece):
-                        back.append((i, 0.0))
-                        break
+                known = pairs.get((before, piece))
+                if neighbours(before, piece) if known is None else known:
+                    break
+            else:
+                i = j - 1
+            back.append(i)
 
     def _score(self, start: int) -> None:
         """Backpointers of the positions after start: the edge with the best sum of scores."""
-        text, back, m = self.text, self.back, self.model
+        m, text, back, scores = self.model, self.text, self.back, self.score
         for j in range(start + 1, len(text) + 1):
-            best: tuple[int, float] | None = None
-            for i in range(max(0, j - m.longest), j):
-                found = m.pieces.get(text[i:j])
-                if found or i == j - 1:
-                    score = back[i][1] + (found[1] if found else m.lowest)
-                    if best is None or score > best[1]:
-                        best = i, score
-            back.append(best)
+            found = m.pieces.get(text[j - 1 : j])
+            best, at = scores[j - 1] + (found[1] if found else m.lowest), j - 1
+            for length in m.ends.get(text[j - 2 : j], ()) if j > 1 else ():
+                i = j - length
+                if i >= 0 and (found := m.pieces.get(text[i:j])) and scores[i] + found[1] >= best:
+                    best, at = scores[i] + found[1], i
+            back.append(at)
+            scores.append(best)
 
     def _commit(self) -> None:
         """Commit up to the furthest boundary that the paths of all positions still in reach share."""
-        live = set(range(max(0, len(self.text) - self.model.longest + 1), len(self.text) + 1))
-        while len(live) > 1:
-            furthest = max(live)
-            live.remove(furthest)
-            live.add(self.back[furthest][0])
-        self._emit(live.pop())
+        n, back = len(self.text), self.back
+        reach = max(0, n - self.model.longest + 1)
+        live = bytearray(reach) + b"\x01" * (n + 1 - reach)
+        left, at = n + 1 - reach, n
+        while left > 1:
+            if live[at]:
+                before = back[at]
+                if live[before]:
+                    left -= 1
+                else:
+                    live[before] = 1
+            at -= 1
+        self._emit(live.index(1, 0, at + 1))
 
     def _emit(self, upto: int) -> None:
         if not upto:
             return
-        cuts, at = [], upto
+        text, back, found, at = self.text, self.back, [], upto
         while at:
-            cuts.append((self.back[at][0], at))
-            at = self.back[at][0]
-        for i, j in reversed(cuts):
-            self.last = self.text[i:j]
-            self.out += self.model.ids_of(self.last)
-        score = self.back[upto][1]
-        self.text = self.text[upto:]
-        self.back = [(0, 0.0)] + [(i - upto, s - score) for i, s in self.back[upto + 1 :]]
-
-    def committed(self) -> list[int]:
+            found.append(text[back[at] : at])
+            at = back[at]
+        found.reverse()
+        self.out += found
+        self.last = found[-1]
+        self.text = text[upto:]
+        self.back = [0] + [i - upto for i in back[upto + 1 :]]
+        if self.model.kind == "unigram":
+            base = self.score[upto]
+            self.score = [x - base for x in self.score[upto:]]
+
+    def committed(self) -> list[str]:
         out, self.out = self.out, []
         return out
 
-    def close(self) -> list[int]:
+    def close(self) -> list[str]:
         self._emit(len(self.text))
         return self.committed()
 
@@ -240,22 +267,58 @@ class PieceCoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.cache = {"": Cache(), BLANK: Cache()}
-
-    def _part(self, part: str, prefix: str) -> bytes:
-        cache = self.cache[prefix]
-        ids = cache.young.get(part)
-        if ids is None:
-            ids = cache.again(part)
-        if ids is None and part[-1:] in self.model.closing and part[-2:-1].isalpha():
-            return self._part(part[:-1], prefix) + self._part(part[-1], "")
-        if ids is None:
-            viterbi = StreamingViterbi(self.model)
-            viterbi.feed(prefix + part)
-            got = viterbi.close()
-            ids = struct.pack(f"<{len(got)}I", *got)
-            cache.put(part, ids)
-        return ids
+        self.cache = Cache()  # by stretch: a word after a blank, a line break and the word after it, or blanks and a word
+        self.packed = {p: struct.pack("<I", i) for p, (i, _) in model.pieces.items()}
+        self.marks = {c: self._packed(c) for c in model.closing}
+
+    def _packed(self, piece: str) -> bytes:
+        found = self.packed.get(piece)
+        return b"".join(struct.pack("<I", i) for i in self.model.ids_of(piece)) if found is None else found
+
+    def _pieces(self, text: str) -> list[str]:
+        viterbi = StreamingViterbi(self.model)
+        viterbi.feed(text)
+        return viterbi.close()
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words after a blank (or a line break of their own), by one lattice over all of them."""
+        stream = "".join([w if w[0] == "\n" else BLANK + w for w in words])
+        packed, parts, ids = self.packed, [], []
+        for piece in self._pieces(stream):
+            if (piece[0] == BLANK or piece == "\n") and ids:
+                parts.append(b"".join(ids))
+                ids = []
+            ids.append(packed.get(piece) or self._packed(piece))
+        parts.append(b"".join(ids))
+        return dict(zip(words, parts, strict=True))
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        cache = self.cache
+        found = list(map(cache.young.get, words))
+        if None not in found:
+            return found
+        new: dict[str, bytes | None] = {}
+        later: list[tuple[int, str, bytes]] = []
+        closing, marks = self.model.closing, self.marks
+        for k, ids in enumerate(found):
+            if ids is None:
+                word, tail = words[k], b""
+                if word[-1] in closing and word[-2:-1].isalpha():  # a mark that no piece joins to the letter before it
+                    word, tail = word[:-1], marks[word[-1]]
+                    ids = cache.young.get(word)
+                ids = cache.again(word) if ids is None else ids
+                if ids is None:
+                    new[word] = None
+                    later.append((k, word, tail))
+                else:
+                    found[k] = ids + tail
+        if new:
+            made = self._new(list(new))
+            for word, ids in made.items():
+                cache.put(word, ids)
+            for k, word, tail in later:
+                found[k] = made[word] + tail
+        return found
 
     def encode(self, text: str) -> bytes:
         m = self.model
@@ -264,30 +327,22 @@ class PieceCoder:
         text = text.replace(BLANK, " ")
         if not text:
             return b""
-        if not m.blank_leads:
-            return self._part(text.replace(" ", BLANK), BLANK if m.dummy_prefix else "")
-        out = []
-        end = b"".join(struct.pack("<I", i) for i in m.ids_of("\n"))
-        for k, line in enumerate(text.split("\n") if m.alone else [text]):
-            if k:
-                out.append(end)
-            if k == 0 and m.dummy_prefix:
-                line = " " + line
-            if not line:
-                continue
-            if "  " in line or line[-1] == " ":  # runs of blanks belong to what follows them
-                for part in re.findall(" *[^ ]+| +", line):
-                    out.append(self._part(part[1:].replace(" ", BLANK), BLANK) if part[0] == " " else self._part(part, ""))
+        whole = (" " if m.dummy_prefix else "") + text
+        if not (m.blank_leads and m.alone and m.dummy_prefix):
+            return b"".join(map(self._packed, self._pieces(whole.replace(" ", BLANK))))
+        words = whole.replace("\n", " \n").split(" ")
+        words.pop(0)  # what stands before the first blank: nothing
+        if "" not in words:
+            return b"".join(self._looked_up(words))
+        out, plain = [], []  # runs of blanks belong to what follows them, so such stretches have a lattice of their own
+        for part in re.findall("\n[^ \n]*| *[^ \n]+| +", whole):
+            if part[0] == "\n" or part[:2] != "  " and part != " ":
+                plain.append(part if part[0] == "\n" else part[1:])
                 continue
-            first, *rest = line.split(" ")
-            if first:
-                out.append(self._part(first, ""))
-            young = self.cache[BLANK].young.get
-            found = list(map(young, rest))
-            if None in found:
-                found = [self._part(p, BLANK) if ids is None else ids for p, ids in zip(rest, found, strict=True)]
-            out += found
-        return b"".join(out)
+            out += self._looked_up(plain)
+            plain = []
+            out.append(b"".join(map(self._packed, self._pieces(part.replace(" ", BLANK)))))
+        return b"".join([*out, *self._looked_up(plain)])
 
     def decode(self, ids: list[int]) -> str:
         """The text that ids stand for; bytes that are no UTF-8 become replacement signs."""
@@ -301,7 +356,8 @@ _coders: dict[str, PieceCoder] = {}
 
 
 def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
-    """A row for each row of docs: doc_id, n_ids, ids, text decoded from them, and whether it equals the text."""
+    """A row for each row of docs: doc_id, n_ids, ids, the text decoded from them, whether it equals the text, and how
+    many U+2581 the text has (with none, it does)."""
     import numpy as np
 
     small_batches(docs.sparkSession, 256)
@@ -316,10 +372,10 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
             decoded = [coder.decode(x.tolist()) for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            same = [a == b.replace(BLANK, " ") for a, b in zip(decoded, texts, strict=True)]
+            same, signs = [a == b for a, b in zip(decoded, texts, strict=True)], [t.count(BLANK) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array(decoded), pa.array(same)],
-                names=["doc_id", "n_ids", "ids", "decoded", "round_trip"],
+                [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array(decoded), pa.array(same), pa.array(signs, pa.int64())],
+                names=["doc_id", "n_ids", "ids", "decoded", "round_trip", "blank_signs"],
             )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded string, round_trip boolean")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded string, round_trip boolean, blank_signs long")
