@@ -108,6 +108,13 @@ class ChunkEncoder:
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
+def largest_id(path: str) -> int:
+    """The largest id of a vocabulary, special tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 def worker_encoder(path: str, leading_space: bool) -> ChunkEncoder:
     """One encoder for all tasks of a Python worker."""
     import os

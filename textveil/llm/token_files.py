@@ -1,7 +1,7 @@
 """Token-id output: Arrow stream files of fixed-size-list batches, read back without copying.
 
 A shard holds the ids of consecutive documents, end to end, cut into sequences of equal length; only its last
-sequence is padded, and a mask marks real ids. Every record batch but the last has the same number of sequences and
+sequence is padded, and a mask (a bit each) marks real ids. Every record batch but the last has the same number of sequences and
 so the same number of bytes, which makes any sequence's place in the file a product. Beside each shard lies a small
 stream file with a row (doc_id, start, n_tokens) for each document.
 
@@ -18,14 +18,14 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm.chunk_bpe import worker_encoder
+from textveil.llm.chunk_bpe import largest_id, worker_encoder
 from textveil.llm.common import id_and_text, new_path, small_batches
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -33,12 +33,19 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 @dataclass(frozen=True)
 class Layout:
-    """sequence_length ids a sequence, batch_sequences sequences a record batch; ids of 16 bits if all fit."""
+    """sequence_length ids (a multiple of 8) a sequence, batch_sequences sequences a record batch, ids of 16 or 32 bits.
+
+    write_token_files() takes 32 bits unless all of the vocabulary's ids fit into 16.
+    """
 
     sequence_length: int = 2048
     batch_sequences: int = 64
     wide: bool = False
 
+    def __post_init__(self):
+        if self.sequence_length % 8:
+            raise ValueError("a sequence's mask is a whole number of bytes, so its length must be a multiple of 8")
+
     @property
     def schema(self) -> pa.Schema:
         kind = pa.uint32() if self.wide else pa.uint16()
@@ -46,6 +53,8 @@ class Layout:
 
     def batch(self, ids: np.ndarray) -> pa.RecordBatch:
         """ids: at most batch_sequences * sequence_length of them; the rest of the last sequence is padding."""
+        if not self.wide and len(ids) and ids.max() > 0xFFFF:
+            raise ValueError(f"id {ids.max()} doesn't fit into 16 bits")
         n = -(-len(ids) // self.sequence_length) * self.sequence_length
         flat = np.zeros(n, np.uint32 if self.wide else np.uint16)
         flat[: len(ids)] = ids
@@ -99,37 +108,43 @@ class ShardWriter:
 class Shard:
     """Random access to a shard on a local or mounted path; the arrays are views of the mapped file."""
 
-    def __init__(self, path: str, layout: Layout):
-        self.layout = layout
+    def __init__(self, path: str):
         self.map = pa.memory_map(path)
         reader = pa.ipc.open_stream(self.map)
+        self.schema, self.length = reader.schema, reader.schema.field("ids").type.list_size
         self.first = self.map.tell()
         try:
-            reader.read_next_batch()
+            self.sequences = reader.read_next_batch().num_rows  # of every batch but the last
             self.step = self.map.tell() - self.first
         except StopIteration:
-            self.step = 0
+            self.sequences, self.step = 1, 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view, not a copy) and mask of sequence i."""
-        k, row = divmod(i, self.layout.batch_sequences)
+        """Ids of sequence i, and its mask as packed bits, the lowest bit first (see unpacked); both views, not copies."""
+        k, row = divmod(i, self.sequences)
         if not self.step or i < 0 or self.first + k * self.step >= self.map.size():
             raise IndexError(i)
         self.map.seek(self.first + k * self.step)
         message = pa.ipc.read_message(self.map)
         if message is None:
             raise IndexError(i)
-        batch = pa.ipc.read_record_batch(message, self.layout.schema)
+        batch = pa.ipc.read_record_batch(message, self.schema)
         if row >= batch.num_rows:
             raise IndexError(i)
-        at, n = row * self.layout.sequence_length, self.layout.sequence_length
-        ids, mask = (batch.column(c).flatten() for c in (0, 1))
-        return ids.to_numpy(zero_copy_only=True)[at : at + n], mask[at : at + n].to_numpy(zero_copy_only=False)
+        at, n = row * self.length, self.length
+        ids, mask = (batch.column(c).values for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True)[at : at + n], np.frombuffer(mask.buffers()[1], np.uint8)[at // 8 : (at + n) // 8]
+
+    @staticmethod
+    def unpacked(mask: np.ndarray) -> np.ndarray:
+        """A mask's bits as booleans: a copy."""
+        return np.unpackbits(mask, bitorder="little").astype(bool)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, layout: Layout = Layout(), leading_space: bool = True) -> list[tuple[int, int]]:
     """Write docs (doc_id, text) into folder in ascending doc_id order; a (shard, ids before it) for each shard."""
     small_batches(docs.sparkSession)
+    layout = replace(layout, wide=layout.wide or max(end_id, largest_id(tokenizer_path)) > 0xFFFF)
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     rows = id_and_text(docs).withColumn("spread", F.xxhash64("text"))
