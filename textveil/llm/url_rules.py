@@ -2,7 +2,8 @@
 
 Every rule is a regular expression together with the literal tokens any matching URL must contain. The rules are
 indexed under the one of these tokens that the URLs at hand contain least often. A URL's distinct tokens fetch its
-candidate rules by an equi-join, and only those candidates run their expressions. Host rules (a host with its
+candidate rules by an equi-join, and only those candidates run their expressions. A rule without a literal token is
+indexed under the empty token, which every URL has, so it is a candidate for all. Host rules (a host with its
 subdomains and a path prefix) are the same thing: their tokens are the labels of the host and the words of the path.
 
 The rule table has a row a rule and is broadcast: its size is the length of the rule list, checked below, and never
@@ -25,6 +26,8 @@ from textveil.llm.common import written
 
 #: Rule lists up to this length are broadcast.
 BROADCAST_RULES = 20_000
+#: The token of rules that have none: no word is empty.
+EVERY = ""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,7 +88,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def index_rules(spark, rules: Sequence[Rule], urls: DataFrame) -> DataFrame:
     """The rules keyed by token: of a rule's tokens, the one in the fewest of urls (tokens array), ties to the first name."""
-    rows = [(i, r.name, r.pattern, list(r.tokens), r.verdict, r.specific, r.host_rule) for i, r in enumerate(rules)]
+    rows = [(i, r.name, r.pattern, list(r.tokens) or [EVERY], r.verdict, r.specific, r.host_rule) for i, r in enumerate(rules)]
     table = spark.createDataFrame(rows, "rule_no int, name string, pattern string, tokens array<string>, rule_verdict string, specific int, host_rule boolean")
     words = table.select(F.explode("tokens").alias("token")).distinct()
     words = F.broadcast(words) if len(rules) <= BROADCAST_RULES else words
@@ -105,6 +108,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], otherwise: Sequence[Rule] = D
     host, path = split_url(F.col("url"))
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit("[a-z0-9]+"), 0))
+    if not all(r.tokens for r in everything):
+        words = F.concat(words, F.array(F.lit(EVERY)))
     split = split.withColumn("tokens", words)
     index = index_rules(spark, everything, split)
     # A row for each distinct host and path: what many pages share is judged once, and a hot host is spread by path.
