@@ -183,3 +183,13 @@ def test_texts_without_their_repeats(docs, texts):
         assert (out[i].text == t) if not gone else len(out[i].text.encode()) <= n - gone
         assert out[i].n_chars == (None if t is None else len(out[i].text))
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
+
+
+def test_shorter_repeats_stay(docs):
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("aeioustnr") for _ in range(r.randint(2, 9))) for _ in range(n))
+    long, short = prose(60), prose(45)
+    rows = [(0, prose(80) + "\n" + long + "\n" + prose(30)), (1, prose(20) + "\n" + long), (2, prose(50) + "\n" + short + "\n" + prose(9)), (3, short + "\n" + prose(70))]
+    out = {x.doc_id: x.text for x in suffix_dedup.remove_repeats(docs(rows), window=200, words=51).collect()}
+    assert long not in out[0] and long not in out[1]
+    assert all(len(out[i].split()) >= len(t.split()) - 62 for i, t in rows) and [out[2], out[3]] == [rows[2][1], rows[3][1]]

@@ -120,6 +120,13 @@ def plain_verdict(url):
     return host, path, *(max(fit)[1:] if fit else (None, None))
 
 
+def test_a_rule_without_a_token_is_tried_on_every_url(spark):
+    rule = url_rules.word_rule("block", "one letter", "^.* /.$", "")
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://a.com/xy"), (3, None), (4, "http://a.com/login")], "page_id long, url string")
+    out = {r.page_id: (r.verdict, r.pattern_rule) for r in url_rules.judge(pages, (), (rule, *url_rules.DEFAULT_PATTERNS)).collect()}
+    assert out == {1: ("block", "one letter"), 2: ("allow", None), 3: ("allow", None), 4: ("block", "login page")}
+
+
 def test_url_rules(spark):
     urls = [
         None, "", "nothing", "http://", "https://A.Example.ORG/es/x?q#f", "http://example.org/es", "http://example.org/en/12", "http://example.org/en/2", "http://x.org",

@@ -46,20 +46,38 @@ def test_token_files_hold_all_ids_in_order(spark, docs, texts):
         every.append(ids)
     assert got == want
     # random access: the shard's sequences, end to end, are its ids; the mask covers no more
-    shard = token_files.Shard(folder.removeprefix("file://") + f"/shard-{shards[0][0]:06d}.ids", layout)
-    ids, k = [], 0
+    shard = token_files.Shard(folder.removeprefix("file://") + f"/shard-{shards[0][0]:06d}.ids")
+    shard.map.seek(0)
+    ids, k, begin = [], 0, shard.map.read_buffer().address
     while True:
         try:
             values, mask = shard.sequence(k)
         except IndexError:
             break
-        assert len(values) == len(mask) == 64
-        ids += values[mask].tolist()
+        assert len(values) == 64 and len(mask) == 8
+        assert all(begin <= x.__array_interface__["data"][0] <= begin + shard.map.size() - x.nbytes and not x.flags.owndata for x in (values, mask))
+        ids += values[shard.unpacked(mask)].tolist()
         k += 1
     flat = [x for e in every for x in e]
     assert k > 4 and ids == flat[: len(ids)]
 
 
+def test_ids_that_need_32_bits(spark, docs, tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"[u]": 0, **{f"w{i}": i for i in range(1, 70_001)}}, unk_token="[u]"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(str(tmp_path / "wide.json"))
+    folder = new_path(spark, "wide")
+    shards = token_files.write_token_files(docs([(1, "w70000 w3 w65536")]), str(tmp_path / "wide.json"), 0, folder, token_files.Layout(64, 4), leading_space=False)
+    values, mask = token_files.Shard(folder.removeprefix("file://") + f"/shard-{shards[0][0]:06d}.ids").sequence(0)
+    assert values[token_files.Shard.unpacked(mask)].tolist() == [70000, 3, 65536, 0]
+    with pytest.raises(ValueError):
+        token_files.Layout(64, 4).batch(np.array([70000]))
+    assert token_files.Layout().schema.field("ids").type.value_type == pa.uint16()
+
+
 def test_token_files_of_nothing(spark, docs):
     assert token_files.token_file_index(spark, docs([]), tokenizer_file("byte_bpe_50k.json")).count() == 0
 
@@ -120,20 +138,43 @@ def test_streaming_viterbi_finds_the_best_unigram_path(seed):
     for k in range(0, 60, 7):
         viterbi.feed(text[k : k + 7])
         got += viterbi.committed()
-    got += viterbi.close()
+    got = [table[p][0] for p in [*got, *viterbi.close()]]
     best = [(0.0, [])] + [None] * 60
     for j in range(1, 61):
         best[j] = max((best[i][0] + table[text[i:j]][1], [*best[i][1], table[text[i:j]][0]]) for i in range(max(0, j - 4), j) if text[i:j] in table)
     scores = {i: s for i, s in table.values()}
     assert sum(scores[i] for i in got) == pytest.approx(best[60][0])
     assert "".join(model.texts[i].decode() for i in got) == text
-    assert viterbi.held <= 60
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_the_window_stays_bounded(kind):
+    r = random.Random(7)
+    if kind == "bpe":
+        model = pieces.PieceModel.load(tokenizer_file("piece_bpe_32k.model"))
+    else:
+        some = ["".join(r.choice("abcd") for _ in range(r.randint(2, 9))) for _ in range(300)]
+        model = pieces.PieceModel({p: (i, -float(len(p)) - r.random()) for i, p in enumerate(dict.fromkeys([*"abcd", *some]))}, "unigram", None, 0, dummy_prefix=False)
+    text = "".join(r.choice("abcd") for _ in range(100_000))
+    viterbi, got = pieces.StreamingViterbi(model), []
+    for k in range(0, len(text), 1000):
+        viterbi.feed(text[k : k + 1000])
+        got += viterbi.committed()
+    assert "".join(got + viterbi.close()) == text
+    assert viterbi.held <= 8 * model.longest
+    if kind == "bpe":
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+        assert np.frombuffer(pieces.PieceCoder(model).encode(text), "<u4").tolist() == library.encode(text)
 
 
 def test_piece_query_rows(spark, docs, texts):
     out = {r.doc_id: r for r in pieces.encode_decode(docs(texts), tokenizer_file("piece_bpe_32k.model")).collect()}
     assert set(out) == {i for i, _ in texts} and all(r.round_trip and r.n_ids == len(r.ids) for r in out.values())
     assert pieces.encode_decode(docs([]), tokenizer_file("piece_bpe_32k.model")).count() == 0
+    signed = {r.doc_id: (r.round_trip, r.blank_signs, r.decoded) for r in pieces.encode_decode(docs([(1, "a▁b"), (1, "c")]), tokenizer_file("piece_bpe_32k.model")).collect() if r.blank_signs}
+    assert signed == {1: (False, 1, "a b")}
 
 
 def plain_figures(text):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import discard, small_batches, written, written_at
+from textveil.llm.common import discard, only, small_batches, written, written_at
 
 WINDOW, GRAM = 400, 100
 #: Windows hashed at a time; bounds memory for long texts.
@@ -288,13 +288,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
     found, every = written_at(spark, _anchor_rows(rows, window, gram), "anchors")
     # written first: joined as a table of its own, a hot anchor's rows can be split over tasks
     twice, known = written_at(spark, found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors-known")
-    found = written(spark, found.join(twice, "anchor", "left_semi"), "anchors-twice")
+    found = written(spark, only(found, twice, ["anchor"]), "anchors-twice")
     for path in (every, known):
         discard(spark, path)
     counted = written(spark, _counted(found, F.count("*")), "anchor-strings")
     name = ["anchor", "place", "n", "whole"]
     span = [F.col("d"), F.col("t"), F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + window).alias("b")]
-    out = found.join(counted.where("copies > 1").select(*name), name, "left_semi").select(*span)
+    out = only(found, counted.where("copies > 1").select(*name), name).select(*span)
 
     several = _several(counted)
     wanted = counted.join(several, "anchor").select("anchor", "place", "n", "copies", "at.*", "strings")
@@ -308,7 +308,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, larg
             level += 1
             halves = written(spark, _split(hot_strings, level, window).withColumn("whole", F.xxhash64("data")), "anchors-halves")
             counted = written(spark, _counted(halves, F.sum("copies")), "anchor-halves-strings")
-            repeated = halves.where("copies = 1").join(counted.where("copies > 1").select(*name), name, "left_semi")
+            repeated = only(halves.where("copies = 1"), counted.where("copies > 1").select(*name), name)
             out = out.unionByName(repeated.select(*span))
             several = _several(counted)
             ones = halves.select("d", "t", "first", *name, "data").join(counted.select(*name, "copies", F.col("at.d").alias("d"), F.col("at.t").alias("t"), F.col("at.first").alias("first")), [*name, "d", "t", "first"])
@@ -329,9 +329,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def kept_bytes(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
-    """What stays, how many bytes went, in how many runs."""
+def kept_bytes(raw: bytes, spans: list[dict] | None, words: int = 0) -> tuple[bytes, int, int]:
+    """What stays, how many bytes went, in how many runs; runs of fewer words than given stay."""
     runs = merged([(s["a"], s["b"]) for s in (() if spans is None else spans)])
+    if words:
+        runs = [(a, b) for a, b in runs if len(raw[a:b].split()) >= words]
     parts, at = [], 0
     for a, b in runs:
         parts.append(raw[at:a])
@@ -357,18 +359,20 @@ def repeat_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int | None = None, words: int = 0) -> DataFrame:
     """docs with the repeated bytes of text gone (and n_chars recounted, if there is one); a character that loses a
-    byte goes with it. Rows without repeats are as they were."""
+    byte goes with it. Rows without repeats are as they were.
+
+    gram: bytes of an anchor, a quarter of the window unless given. words: runs of fewer words stay."""
 
     @F.pandas_udf("string")
     def without(texts, spans):
         import pandas as pd
 
-        return pd.Series([None if t is None else t if s is None else kept_bytes(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
+        return pd.Series([None if t is None else t if s is None else kept_bytes(t.encode(), s, words)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     packed = docs.select(F.struct("*").alias("row")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("t"))
-    joined = packed.join(repeated_spans(docs, window), ["d", "t"], "left")
+    joined = packed.join(repeated_spans(docs, window, gram or window // 4), ["d", "t"], "left")
     joined = joined.select("row", without(F.col("row.text"), F.col("spans")).alias("new_text"))
     fields = []
     for c in docs.columns:
