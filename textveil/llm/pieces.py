@@ -36,9 +36,11 @@ from textveil.llm.common import id_and_text, small_batches
 
 BLANK = "▁"
 #: Answers about neighbouring pieces that a worker keeps.
-PAIRS = 300_000
+PAIRS = 500_000
+#: Beginnings of words, of up to so many characters, whose backpointers a worker keeps.
+BEGINNINGS, BEGINNING_CHARS = 500_000, 12
 #: Longest pieces that are fed between two commits.
-STEP = 4
+STEP = 6
 
 
 class PieceModel:
@@ -60,14 +62,22 @@ class PieceModel:
         self.lowest = min((s for _, s in pieces.values()), default=0.0) - 10.0
         self._whole: dict[str, bool] = {}
         self._joint: dict[str, int] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._beginnings: dict[str, tuple[list[int], list[int]]] = {}
         #: Pieces that a path may use: for merging, those that merge to themselves.
         self.usable = frozenset(p for p in pieces if kind == "unigram" or self.whole(p))
-        ends: dict[str, set[int]] = {}
+        #: Usable pieces and single characters, numbered.
+        self.names = sorted(self.usable | joined | {p for p in pieces if len(p) == 1})
+        self.number = {p: k for k, p in enumerate(self.names)}
+        pairs: dict[str, set[int]] = {}
         for p in self.usable:
             if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        #: Lengths of the usable pieces that end in two given characters, the longest first.
+                pairs.setdefault(p[-2:], set()).add(len(p))
+        ends = {k: {2} & v for k, v in pairs.items()}
+        for p in self.usable:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {2} & pairs[p[-2:]]).add(len(p))
+        #: Lengths of the usable pieces that end in three given characters, the longest first; if there are none, in two.
         self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
 
     @classmethod
@@ -123,13 +133,11 @@ class PieceModel:
             parts = parts[:i] + [parts[i] + parts[i + 1]] + parts[i + 2 :]
         return before[0], before[1]
 
-    def neighbours(self, a: str, b: str) -> bool:
-        """Whether a and b, merged together, stay as they are; answers are kept, up to a bound."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._stay_apart(a, b)
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether the pieces numbered a and b, merged together, stay as they are; answers are kept, up to a bound."""
+        if len(self._pairs) >= PAIRS:
+            self._pairs.clear()
+        known = self._pairs[a * len(self.names) + b] = self._stay_apart(self.names[a], self.names[b])
         return known
 
     def _stay_apart(self, a: str, b: str) -> bool:
@@ -171,8 +179,9 @@ class StreamingViterbi:
     def __init__(self, model: PieceModel):
         self.model = model
         self.text = ""  # from the last committed boundary on
-        self.back = [0]  # of each position: where its last piece starts
+        self.back = [0]  # of each position: the length of its last piece
         self.score = [0.0]  # of each position, for unigram: the path's score
+        self.piece = [-1]  # of each position, for bpe: the number of its last piece; -1 joins with nothing
         self.out: list[str] = []
         self.last = ""  # the last committed piece
         self.held = 0  # most positions held at once
@@ -188,37 +197,76 @@ class StreamingViterbi:
             if len(self.text) > m.longest:
                 self._commit()
 
+    def _lengths(self, j: int) -> tuple[int, ...]:
+        """Lengths of the pieces of two characters or more that may end at position j, the longest first."""
+        found = self.model.ends.get(self.text[max(0, j - 3) : j])
+        return self.model.ends.get(self.text[max(0, j - 2) : j], ()) if found is None else found
+
     def _merge(self, start: int) -> None:
-        """Backpointers of the positions after start: the one edge that the path before it allows."""
-        m, text, back, last = self.model, self.text, self.back, self.last
-        ends, usable, pairs, neighbours, leads = m.ends, m.usable, m._pairs, m.neighbours, m.blank_leads
-        for j in range(start + 1, len(text) + 1):
-            for length in ends.get(text[j - 2 : j], ()) if j > 1 else ():
+        """Backpointers of the positions after start: the one edge that the path before it allows.
+
+        Those of a word after a blank depend on nothing before it, so a word goes on from its longest beginning whose
+        backpointers are kept.
+        """
+        m, text, back, pieces = self.model, self.text, self.back, self.piece
+        ends, number, pairs, size, kept = m.ends.get, m.number.get, m._pairs.get, len(m.names), m._beginnings
+        if len(kept) > BEGINNINGS:
+            kept.clear()
+        n, j, word = len(text), start, -1
+        before = text[start - 1] if start else self.last[-1:]
+        while j < n:
+            char = text[j]
+            if char == BLANK and before != BLANK and m.blank_leads:
+                pieces[j] = -1  # no piece reaches across
+                word = j
+                for size_kept in range(min(n - j, BEGINNING_CHARS), 0, -1):
+                    found = kept.get(text[j : j + size_kept])
+                    if found:
+                        back += found[0][:size_kept]
+                        pieces += found[1][:size_kept]
+                        j += size_kept
+                        before = text[j - 1]
+                        break
+                else:
+                    found = None
+                if found:
+                    continue
+            j += 1
+            before = char
+            lengths = ends(text[j - 3 : j] if j > 2 else "")
+            for length in (ends(text[j - 2 : j], ()) if j > 1 else ()) if lengths is None else lengths:
                 i = j - length
-                if i < 0 or text[i:j] not in usable:
+                piece = number(text[i:j]) if i >= 0 else None
+                if piece is None:
                     continue
-                before = text[back[i] : i] if i else last
-                if not before or leads and text[i] == BLANK and before[-1] != BLANK:
-                    break  # no piece reaches across
-                piece = text[i:j]
-                known = pairs.get((before, piece))
-                if neighbours(before, piece) if known is None else known:
+                last = pieces[i]
+                if last < 0:
+                    break
+                known = pairs(last * size + piece)
+                if m.neighbours(last, piece) if known is None else known:
                     break
             else:
-                i = j - 1
-            back.append(i)
+                i, piece = j - 1, number(char, -1)
+            back.append(j - i)
+            pieces.append(piece)
+            if 0 <= word and j - word <= BEGINNING_CHARS:
+                if j == n or j - word == BEGINNING_CHARS or text[j] == BLANK:
+                    own = back[word + 1 : j + 1], pieces[word + 1 : j + 1]
+                    for k in range(j, word, -1):
+                        if kept.setdefault(text[word:k], own) is not own:
+                            break
 
     def _score(self, start: int) -> None:
         """Backpointers of the positions after start: the edge with the best sum of scores."""
         m, text, back, scores = self.model, self.text, self.back, self.score
         for j in range(start + 1, len(text) + 1):
             found = m.pieces.get(text[j - 1 : j])
-            best, at = scores[j - 1] + (found[1] if found else m.lowest), j - 1
-            for length in m.ends.get(text[j - 2 : j], ()) if j > 1 else ():
-                i = j - length
-                if i >= 0 and (found := m.pieces.get(text[i:j])) and scores[i] + found[1] >= best:
-                    best, at = scores[i] + found[1], i
-            back.append(at)
+            best, size = scores[j - 1] + (found[1] if found else m.lowest), 1
+            for length in self._lengths(j):
+                found = m.pieces.get(text[j - length : j]) if length <= j else None
+                if found and scores[j - length] + found[1] >= best:
+                    best, size = scores[j - length] + found[1], length
+            back.append(size)
             scores.append(best)
 
     def _commit(self) -> None:
@@ -229,7 +277,7 @@ class StreamingViterbi:
         left, at = n + 1 - reach, n
         while left > 1:
             if live[at]:
-                before = back[at]
+                before = at - back[at]
                 if live[before]:
                     left -= 1
                 else:
@@ -242,16 +290,18 @@ class StreamingViterbi:
             return
         text, back, found, at = self.text, self.back, [], upto
         while at:
-            found.append(text[back[at] : at])
-            at = back[at]
+            found.append(text[at - back[at] : at])
+            at -= back[at]
         found.reverse()
         self.out += found
         self.last = found[-1]
         self.text = text[upto:]
-        self.back = [0] + [i - upto for i in back[upto + 1 :]]
+        self.back = back[upto:]
         if self.model.kind == "unigram":
             base = self.score[upto]
             self.score = [x - base for x in self.score[upto:]]
+        else:
+            self.piece = self.piece[upto:]
 
     def committed(self) -> list[str]:
         out, self.out = self.out, []
