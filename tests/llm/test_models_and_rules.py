@@ -56,6 +56,42 @@ def test_segments_cover_long_texts(made, monkeypatch):
     assert np.allclose(net.pooled(text), whole, atol=1e-5)
 
 
+def plain_score(net, raw):
+    """The network by its definition, a byte, a chunk and a filter at a time."""
+    import math
+
+    half, reach = byte_cnn.HALF, byte_cnn.REACH
+    n = max(2, -(-len(raw) // half)) * half
+    data = raw + bytes(n + reach - len(raw))
+    again = lambda i: i + 8 <= len(raw) and any(raw[i : i + 8] == raw[i + k : i + k + 8] for k in range(1, byte_cnn.LAGS + 1) if i + k + 8 <= len(raw))
+    at = [np.maximum(sum(net.table[k, data[i + k]] for k in range(reach)) + net.bias + net.recur * again(i), 0) for i in range(n)]
+    chunks = [sum(at[a : a + 2 * half]) / (2 * half) for a in range(0, n - half, half)]
+    top = np.maximum(np.max([c @ net.mix + net.mix_bias for c in chunks], axis=0), 0)
+    return 1 / (1 + math.exp(-float(top @ net.out + net.offset[0])))
+
+
+def test_scores_by_a_naive_convolution(made):
+    net = byte_cnn.train([(t, q) for _, t, q, _ in made[0][:80]], epochs=1)
+    r = random.Random(6)
+    cases = [b"", b"a", "é ß 日本".encode(), b"ab" * 90, b"x" * 64, b"The end. " * 40, *(bytes(r.randrange(256) for _ in range(k)) for k in (31, 32, 33, 63, 64, 65, 300)), made[0][5][1].encode()]
+    for raw in cases:
+        assert net.score(raw) == pytest.approx(plain_score(net, raw), abs=1e-5)
+
+
+def test_training_sees_whole_texts(spark, made):
+    """Nothing but the end of the texts tells, far behind their beginnings."""
+    r = random.Random(8)
+    words = ["".join(r.choice("aeioustnr") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(1500)) + (" vumpxa vumpxo kvumpx vumpxe" if i % 3 == 0 else " end."), int(i % 3 == 0)) for i in range(240)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    crf = toxic_crf.learn(docs, labels, toxic_crf.learnable())
+    out = {x.doc_id: x.predicted for x in toxic_crf.score_documents(docs, crf).collect()}
+    assert out == {i: y for i, _, y in rows}
+    taken = sample(docs, labels, "toxic", toxic_crf.learnable(), 50, 100_000)
+    whole = {t for _, t, _ in rows}
+    assert taken and sum(len(t) for t, _ in taken) <= 100_000 and all(t in whole for t, _ in taken)
+
+
 def test_recurring_bytes_by_brute_force():
     r = random.Random(4)
     data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(300)), np.uint8)

@@ -6,8 +6,8 @@ Responses are averaged over overlapping chunks of 64 bytes (a new chunk each 32)
 the chunk, the maximum over all chunks of the document is pooled, and a last layer makes one probability. Long texts
 run a segment at a time: the maximum over segments is that over the text.
 
-Training takes a bounded sample (TRAIN_PER_CLASS documents a class, TRAIN_CHARS characters of each); the offset of
-the score is then set for the share of the classes among all labels that may be learnt from.
+Training takes a bounded sample of whole texts (TRAIN_PER_CLASS documents a class, TRAIN_TOTAL_CHARS characters of all
+of them, each whole or not at all); the offset of the score is then set for the share of the classes among all labels that may be learnt from.
 
 Defined cases: a null or empty text is scored as one chunk of zero bytes; a training set without both classes scores
 0.5; repeated rows score alike; an empty table gives no rows; other columns are ignored.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from textveil.llm.common import id_and_text, small_batches
 from textveil.llm.labelled import class_odds, fold, sample
 
-TRAIN_PER_CLASS, TRAIN_CHARS = 1500, 4000
+TRAIN_PER_CLASS, TRAIN_TOTAL_CHARS = 1500, 16_000_000
 THRESHOLD = 0.3
 REACH, HALF, FILTERS, UNITS, LAGS = 4, 32, 16, 12, 40
 SEGMENT = 1 << 17
@@ -106,7 +106,7 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, epochs: int = 5, batch
         rng.normal(0, 0.2, (REACH, 256, FILTERS)).astype(f32), np.full(FILTERS, 0.1, f32) * rng.choice([-1, 1], FILTERS).astype(f32), np.zeros(FILTERS, f32),
         rng.normal(0, 0.5, (FILTERS, UNITS)).astype(f32), np.zeros(UNITS, f32), rng.normal(0, 0.5, UNITS).astype(f32), np.zeros(1, f32),
     )
-    inputs = [next(segments(t.encode()[: SEGMENT])) for t, _ in rows]
+    inputs = [list(segments(t.encode())) for t, _ in rows]
     names = list(Net.__dataclass_fields__)
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
@@ -117,11 +117,12 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, epochs: int = 5, batch
             grad = {k: np.zeros_like(getattr(net, k)) for k in names}
             parts, marks, back = [], [], []
             for i in order[at : at + batch]:
-                data, recurs = inputs[i]
-                chunks = net.chunks(data, recurs)
+                held = [net.chunks(data, recurs) for data, recurs in inputs[i]]
+                chunks = held[0] if len(held) == 1 else np.concatenate(held)
                 units = chunks @ net.mix + net.mix_bias
                 top = units.argmax(axis=0)
                 value = np.maximum(units[top, np.arange(UNITS)], 0)
+                first_chunk = np.cumsum([0, *(len(h) for h in held)])
                 p = 1 / (1 + np.exp(-np.clip(value @ net.out + net.offset[0], -30, 30)))
                 error = f32((rows[i][1] - p) / batch)
                 grad["out"] += error * value
@@ -130,7 +131,9 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, epochs: int = 5, batch
                 grad["mix_bias"] += live
                 grad["mix"] += chunks[top].T * live
                 for u in np.flatnonzero(live):
-                    a = int(top[u]) * HALF
+                    part = int(np.searchsorted(first_chunk, top[u], "right")) - 1
+                    data, recurs = inputs[i][part]
+                    a = int(top[u] - first_chunk[part]) * HALF
                     parts.append(data[a : a + 2 * HALF + REACH - 1])
                     marks.append(recurs[a : a + 2 * HALF])
                     back.append(live[u] * net.mix[:, u])
@@ -172,7 +175,7 @@ def score_documents(docs: DataFrame, net: Net | None, threshold: float = THRESHO
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> Net | None:
-    return train(sample(docs, labels, label, usable, TRAIN_PER_CLASS, TRAIN_CHARS), class_odds(labels, label, usable))
+    return train(sample(docs, labels, label, usable, TRAIN_PER_CLASS, TRAIN_TOTAL_CHARS), class_odds(labels, label, usable))
 
 
 def learnable() -> Column:

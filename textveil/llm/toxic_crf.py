@@ -3,7 +3,9 @@
 Labels are of documents, so token labels are derived first: a form (a word, or the first 4 to 6 letters of one) is
 telling if many toxic training documents hold it, in many contexts, and next to no clean one does; a token of a toxic document is
 labelled if one of its forms is telling. The field has two tags and hashed features of each token and its letters; it
-is fitted by gradient ascent on the log-likelihood of labelled stretches of tokens. A document's score combines the
+is fitted by gradient ascent on the log-likelihood of stretches of WIDTH tokens: all that hold a labelled token, and up
+to CLEAN_STRETCHES of each clean text, spread evenly from its beginning to its end. What else a toxic text holds is left
+out, since a token without a label may still be toxic there. A document's score combines the
 largest marginal and the expected number of toxic tokens, from the forward and backward passes over all its tokens,
 by a logistic curve fitted to the same documents. Offsets of runs of tokens with a marginal of at least a half are
 returned as spans.
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 from textveil.llm.common import id_and_text, small_batches
 from textveil.llm.labelled import class_odds, fold, sample
 
-#: Bounds of the training sample: documents a class, and characters of each.
-TRAIN_PER_CLASS, TRAIN_CHARS = 2500, 6000
+#: Bounds of the training sample: documents a class, and characters of all of them; each is taken whole or not at all.
+TRAIN_PER_CLASS, TRAIN_TOTAL_CHARS = 5000, 24_000_000
 #: A form is telling if so many toxic documents hold it, after as many different words, and clean ones at most this much
 #: as often. Near copies share a rare word, but with the same word before it. Toxic documents without such a form may
 #: name further ones, which need only WEAK_DOCS of them.
 TELLING_DOCS, WEAK_DOCS, TELLING_RATIO = 8, 4, 0.02
+#: Tokens in a training stretch, of which so many stand before the labelled one; stretches of a clean text at most.
+WIDTH, BEFORE, CLEAN_STRETCHES = 32, 12, 6
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
 STRETCH = 128
@@ -167,30 +171,31 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, rounds: int = 25) -> C
     telling |= _telling(unexplained, clean, rate, min(WEAK_DOCS, max(3, math.ceil(0.05 * sizes[1]))))
     tag = lambda w: any(f in telling for f in forms(w))
 
-    stretches: list[tuple[list[str], list[int]]] = []
-    for k, (tokens, y) in enumerate(texts):
-        tags = [int(y == 1 and tag(w)) for w in tokens]
-        marked = [i for i, x in enumerate(tags) if x]
-        if marked:
-            for i in marked[:3]:
-                a = max(0, i - 12)
-                stretches.append((tokens[a : a + 32], tags[a : a + 32]))
-        if tokens and y == 0:
-            for a in range(0, len(tokens), max(32, len(tokens) // 3 + 1)):
-                stretches.append((tokens[a : a + 32], tags[a : a + 32]))
-    n, width = len(stretches), 32
-    feature, tags, mask = np.full((n, width, 6), BUCKETS, np.int64), np.zeros((n, width), np.int64), np.zeros((n, width), bool)
-    for r, (tokens, t) in enumerate(stretches):
-        for c, w in enumerate(tokens):
-            found = features(w)
-            feature[r, c, : len(found)] = found
-        tags[r, : len(t)], mask[r, : len(t)] = t, True
+    # words are numbered, so features are summed once a word
+    number: dict[str, int] = {}
+    words, tags = [], []
+    for tokens, y in texts:
+        own = [number.setdefault(w.lower(), len(number)) for w in tokens]
+        words.append(np.array(own, np.int32))
+        tags.append(y)
+    told = np.fromiter((tag(w) for w in number), bool, len(number))
+    feature = np.full((len(number) + 1, 6), BUCKETS, np.int64)  # the last word is none
+    for w, k in number.items():
+        found = features(w)
+        feature[k, : len(found)] = found
+    cut = [(w[a : a + WIDTH], y) for w, y in zip(words, tags, strict=True) for a in _starts(w, told, y)]
+    word, mark = np.full((len(cut), WIDTH), len(number), np.int32), np.zeros((len(cut), WIDTH), np.int64)
+    for r, (w, y) in enumerate(cut):
+        word[r, : len(w)] = w
+        mark[r, : len(w)] = told[w] * y
+    mask = word < len(number)
     weights, joints = np.zeros(BUCKETS + 1), np.zeros((2, 2))
     seen, seen_joints = np.full(BUCKETS + 1, 1e-6), np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        emission = weights[feature].sum(axis=2) * mask
-        p, pairs = _likelihood_gradient(emission, tags, mask, joints)
-        gradient = np.bincount(feature.ravel(), np.repeat((p * mask).ravel(), 6), BUCKETS + 1) - 1e-3 * weights
+        emission = weights[feature].sum(axis=1)[word] * mask
+        p, pairs = _likelihood_gradient(emission, mark, mask, joints)
+        of_word = np.bincount(word.ravel(), p.ravel(), len(number) + 1)
+        gradient = np.bincount(feature.ravel(), np.repeat(of_word, 6), BUCKETS + 1) - 1e-3 * weights
         gradient[BUCKETS] = 0
         seen += gradient**2
         weights += 0.5 * gradient / np.sqrt(seen)
@@ -215,6 +220,19 @@ def train(rows: list[tuple[str, int]], odds: float = 1.0, rounds: int = 25) -> C
     return crf
 
 
+def _starts(word: np.ndarray, told: np.ndarray, toxic: int) -> list[int]:
+    """Where the training stretches of a text begin."""
+    if not toxic:
+        count = min(CLEAN_STRETCHES, -(-len(word) // WIDTH))
+        return [k * max(0, len(word) - WIDTH) // max(1, count - 1) for k in range(count)]
+    out, end = [], 0
+    for i in np.flatnonzero(told[word]).tolist():
+        if i >= end:
+            out.append(max(end, i - BEFORE))
+            end = out[-1] + WIDTH
+    return out
+
+
 def _telling(toxic: list[list[str]], clean: Counter, rate: float, least: int) -> set[str]:
     """Forms that least of the token lists hold, after least different words, and clean ones at most rate as often."""
     held: Counter = Counter()
@@ -310,7 +328,7 @@ def keep_clean(docs: DataFrame, crf: Crf | None, threshold: float = THRESHOLD) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Crf | None:
-    rows = sample(docs, labels, label, usable, TRAIN_PER_CLASS, TRAIN_CHARS)
+    rows = sample(docs, labels, label, usable, TRAIN_PER_CLASS, TRAIN_TOTAL_CHARS)
     return train(rows, class_odds(labels, label, usable))
 
 
