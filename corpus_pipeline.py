@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textveil.llm import exact_dedup, packing, simhash, suffix_dedup, toxic_crf
-from textveil.llm.common import table, written
+from textveil.llm.common import swept, table, written
 from textveil.llm.queries import tokenizer_file
 
 
@@ -27,13 +27,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by their fingerprints exactly one row stays, one with the smallest doc_id."""
-    return simhash.keep_one(docs, words=3, radius=2)
+    """Of texts that are alike exactly one row stays, one with the smallest doc_id.
+
+    Alike: the fingerprints of their words are near, and those of their five-word shingles confirm a similarity of 0.8.
+    """
+    return simhash.keep_one(docs, words=1, radius=3, check=simhash.FIVE_WORDS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in passages of 400 bytes or more that occur elsewhere too are cut from the texts."""
-    return suffix_dedup.remove_repeats(docs, window=400)
+    """Passages of over 50 words (and 200 bytes) that occur elsewhere too are cut from the texts."""
+    return suffix_dedup.remove_repeats(docs, window=200, words=51)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with swept(spark) as made:  # what a stage wrote for itself goes with it
+            docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.pop()
     return docs
