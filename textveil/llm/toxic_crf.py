@@ -36,7 +36,7 @@ from textveil.llm.common import id_and_text, small_batches
 from textveil.llm.labelled import class_odds, fold, sample
 
 #: Bounds of the training sample: documents a class, and characters of all of them; each is taken whole or not at all.
-TRAIN_PER_CLASS, TRAIN_TOTAL_CHARS = 5000, 24_000_000
+TRAIN_PER_CLASS, TRAIN_TOTAL_CHARS = 3000, 12_000_000
 #: A form is telling if so many toxic documents hold it, after as many different words, and clean ones at most this much
 #: as often. Near copies share a rare word, but with the same word before it. Toxic documents without such a form may
 #: name further ones, which need only WEAK_DOCS of them.
@@ -156,7 +156,8 @@ def _summary(p: np.ndarray) -> tuple[float, float]:
 
 def train(rows: list[tuple[str, int]], odds: float = 1.0, rounds: int = 25) -> Crf | None:
     """Fit the field to (text, toxic) rows; None without both classes. odds: of a toxic document among all labelled."""
-    texts = [(_TOKEN.findall(t), y) for t, y in rows]
+    same: dict[str, str] = {}
+    texts = [([same.setdefault(w, w) for w in _TOKEN.findall(t)], y) for t, y in rows]
     sizes = Counter(y for _, y in texts)
     if len(sizes) < 2:
         return None
