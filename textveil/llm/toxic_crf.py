@@ -73,6 +73,9 @@ class Crf:
     def __post_init__(self):
         self.known: dict[str, float] = {}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}  # what the driver has looked up isn't sent along
+
     def emission(self, words: list[str]) -> np.ndarray:
         known = self.known
         found = list(map(known.get, words))
