@@ -84,7 +84,7 @@ class SentenceConfig:
 
 
 #: Settings that some profiles carry and no operator reads.
-IGNORED = frozenset({"token_sanitize_top_m", "utility_alpha", "stretch", "probes", "optimizer", "ref"})
+IGNORED = frozenset({"terms_file", "token_sanitize_top_m", "utility_alpha", "stretch", "probes", "optimizer", "ref"})
 
 
 def parse_epsilon(value: object) -> float | None:
@@ -113,3 +113,23 @@ def load(path: str | Path) -> tuple[TokenConfig, SentenceConfig]:
 
     tree = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     return from_mapping(TokenConfig, tree.get("token", {})), from_mapping(SentenceConfig, tree.get("sentence", {}))
+
+
+def resolve(path: str | Path, config_dir: str | Path) -> Path:
+    """A path named in a settings file: as it is if absolute, else the first that exists beside the file, in the folder above,
+    or in a folder beside that of the file; else beside the file."""
+    path, here = Path(path), Path(config_dir).resolve()
+    if path.is_absolute():
+        return path
+    beside = sorted(p for p in here.parent.iterdir() if p.is_dir() and p != here) if here.parent.is_dir() else []
+    return next((p for p in (here / path, here.parent / path, *(b / path for b in beside)) if p.exists()), here / path)
+
+
+def config_file(name: str, folder: str | Path) -> Path:
+    """The settings file of that name in folder. A name with path components is refused; an unknown one is not found."""
+    if not name or name in (".", "..") or "/" in name or "\\" in name or Path(name).name != name:
+        raise ValueError(f"not a name of settings: {name!r}")
+    found = next((p for p in (Path(folder) / name, Path(folder) / f"{name}.yaml", Path(folder) / f"{name}.yml") if p.is_file()), None)
+    if found is None:
+        raise FileNotFoundError(f"no settings named {name!r} in {folder}")
+    return found

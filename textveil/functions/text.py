@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from textveil.config import Normalisation
 
-#: A URL, a mention, a hashtag, or a word with inner apostrophes and hyphens.
+# The patterns of a token (a URL, a mention, a hashtag, or a word with inner apostrophes and hyphens), of a run of
+# letters and digits, and of a piece between blanks.
 TOKEN = r"(?U)(?:https?://|www\.)\S+|@\w+|#\w+|[^\W_]+(?:['’\-][^\W_]+)*"
 RUN = r"(?U)[^\W_]+"
 CHUNK = r"(?U)\S+"
@@ -57,6 +58,10 @@ def emoji_class() -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
+#: What no text without pictographs holds, but for some marks and scripts: a test that is cheap next to emoji_class().
+MAYBE_EMOJI = r"[\x{A9}\x{AE}\x{200D}-\x{10FFFF}]"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: inside a lambda nothing else keeps an expression from being repeated."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -87,7 +92,7 @@ def interleave(seps: Column, toks: Column) -> Column:
 
 def normalize_sep(text: Column, rules: Normalisation = Normalisation()) -> Column:
     if rules.strip_emoji:
-        text = F.regexp_replace(text, emoji_class(), "")
+        text = F.when(text.rlike(MAYBE_EMOJI), F.regexp_replace(text, emoji_class(), "")).otherwise(text)
     if rules.normalize_punctuation:
         text = F.replace(F.translate(text, "".join(MARKS), "".join(MARKS.values())), F.lit("…"), F.lit("..."))
         text = F.regexp_replace(text, r"(?U)([^\w\s])\1+", "$1")
@@ -116,7 +121,12 @@ def word_reasons(word: Column, rules: Normalisation = Normalisation()) -> Column
 
 def normalize_text(text: Column, rules: Normalisation = Normalisation()) -> Column:
     toks = F.transform(tokens(text), lambda t: F.when(kind(t) == "word", normalize_word(t, rules)).otherwise(t))
-    return interleave(F.transform(separators(text), lambda s: normalize_sep(s, rules)), toks)
+    return interleave(normalized_separators(separators(text), rules), toks)
+
+
+def normalized_separators(seps: Column, rules: Normalisation = Normalisation()) -> Column:
+    """normalize_sep of each; a single blank, as most of them are, is what it was."""
+    return F.transform(seps, lambda s: F.when(s.isin("", " "), s).otherwise(normalize_sep(s, rules)))
 
 
 def skeleton(token: Column) -> Column:

@@ -41,7 +41,7 @@ def run_statistics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-#: code, what it leaves out, and the settings that do so.
+# Code, what it leaves out, and the settings that do so.
 ABLATIONS: tuple[tuple[str, str, Mapping[str, object], Mapping[str, object]], ...] = (
     ("A1", "no first budget", {"epsilon_split": 0.0}, {}),
     ("A2", "no protected terms", {}, {"terms": ()}),
@@ -73,6 +73,25 @@ def best_trial(scored: DataFrame) -> DataFrame:
     return means.orderBy(F.desc(F.round("mean_to", 9)), "trial").limit(1)
 
 
+def trial_means(scored: DataFrame) -> DataFrame:
+    """One row: mean_to, mean_u, mean_p, fallback_rate of a trial's rows; -1, 0, 0, 0 if there are none."""
+    mean = lambda c, none: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(none))
+    return scored.agg(mean("to", -1.0).alias("mean_to"), mean("u", 0.0).alias("mean_u"), mean("p", 0.0).alias("mean_p"), F.coalesce(F.avg(F.col("fallback").cast("int")), F.lit(0.0)).alias("fallback_rate"))
+
+
+def counters(privatized: DataFrame) -> DataFrame:
+    """One row: rows, rows with a rewritten token, rows whose text changed, of a token-level run."""
+    rewritten = F.exists("token_log", lambda e: e["action"] == "rewritten")
+    return privatized.agg(F.count("*").alias("rows"), F.count_if(rewritten).alias("rows_rewritten"), F.count_if(F.col("Text") != F.col("x_priv")).alias("rows_changed"))
+
+
+def lexicon_state(terms: Sequence[str]) -> dict[str, int | bool]:
+    from textveil.operators.lexicon import clean_terms
+
+    n = len(clean_terms(terms))
+    return {"terms": n, "loaded": n > 0}
+
+
 SEARCH_SPACE = {"epsilon_total": (6.0, 24.0), "hate_floor_delta": (0.02, 0.20), "tau_sem_min": (0.30, 0.80)}
 
 
@@ -96,10 +115,11 @@ def calibrate(rows: DataFrame, tokens: TokenConfig, config: SentenceConfig, tria
     best = config
     for trial, theta in enumerate(sample_settings(trials, seed)):
         tried = replace(config, **theta)
-        done = rewrite(rows, tokens, tried, triage=False)
-        to = proxy_tradeoff(keyword_share(F.col("Text")), keyword_share(F.col("result")), ngram_overlap(F.col("Text"), F.col("result")))
-        mean = done.agg(F.avg(to)).first()[0]
-        if not history or mean > max(h["TO"] for h in history):
+        done = rewrite(rows, tokens, tried, triage=False).select("Text", "result", "audit.fallback")
+        before, after, overlap = keyword_share(F.col("Text")), keyword_share(F.col("result")), ngram_overlap(F.col("Text"), F.col("result"))
+        scored = done.select(proxy_tradeoff(before, after, overlap).alias("to"), (after / F.greatest(before, F.lit(1e-9))).alias("u"), (1.0 - overlap).alias("p"), "fallback")
+        means = trial_means(scored).first()
+        if not history or means.mean_to > max(h["TO"] for h in history):
             best = tried
-        history.append({"trial": trial, "theta": theta, "TO": mean})
+        history.append({"trial": trial, "theta": theta, "TO": means.mean_to, "U": means.mean_u, "P": means.mean_p, "fallback_rate": means.fallback_rate})
     return best, history

@@ -16,6 +16,7 @@ from textveil.functions import dp
 from textveil.functions import text as T
 from textveil.functions.scores import keyword_share, term_skeletons
 from textveil.operators import lexicon
+from textveil.operators.backends import Backend, hash_backend
 from textveil.operators.privatize import privatize
 from textveil.operators.triage import route_sets, saliency_routes, style_routes
 
@@ -116,6 +117,14 @@ def select_rewrite(candidates: list[str], scores: list[float], epsilon: float, u
     return candidates[-1], len(candidates) - 1
 
 
+def propose_and_choose(rows: DataFrame, proposer: Callable[[Column, Column, int], Column], score: Callable[[Column], Column], config: SentenceConfig, run_seed: str, clip: float = 5.0) -> DataFrame:
+    """row_idx, Text, result for rows (row_idx, Text): k proposals, each scored, one drawn; a text without any stays."""
+    made = rows.select("row_idx", F.coalesce("Text", F.lit("")).alias("Text")).withColumn("_c", proposer(F.col("Text"), F.col("Text"), config.k_generate))
+    shares = dp.weights(F.transform("_c", lambda c: dp.clip(score(c), clip)), config.epsilon_2, 2 * abs(clip))
+    drawn = F.get(F.col("_c"), dp.draw(shares, dp.uniform(run_seed, F.col("row_idx"), F.lit(0))))
+    return made.select("row_idx", "Text", F.when(F.size("_c") > 0, drawn).otherwise(F.col("Text")).alias("result"))
+
+
 def table_proposals(x_priv: Column, text: Column, k: int) -> Column:
     """A stand-in proposer: the sanitised text, and the text with its last words left off, in k distinct forms."""
     pieces = F.regexp_extract_all(text, F.lit(T.CHUNK), 0)
@@ -128,35 +137,53 @@ def term_skeletons_of(canonical: Column) -> Column:
     return F.filter(F.array_sort(F.array_distinct(F.transform(canonical, T.skeleton))), lambda s: F.length(s) >= 3)
 
 
-def rewrite(rows: DataFrame, tokens: TokenConfig, config: SentenceConfig, proposer: Callable[[Column, Column, int], Column] = table_proposals, triage: bool = True) -> DataFrame:
+#: From candidates (text, v: vector), the threshold and how many: those that stay.
+Pruner = Callable[[Column, float, int], Column]
+
+
+def greedy(items: Column, tau: float, most: int) -> Column:
+    return prune(items, lambda x: x["v"], tau, most)
+
+
+def keep_all(items: Column, tau: float, most: int) -> Column:
+    """The pruner that prunes nothing."""
+    return items
+
+
+def rewrite(
+    rows: DataFrame, tokens: TokenConfig, config: SentenceConfig, proposer: Callable[[Column, Column, int], Column] = table_proposals, triage: bool = True,
+    score: Callable[[Column], Column] = keyword_share, encode: Callable[[Column], Column] = hash_vector, pruner: Pruner = greedy, backend: Backend = hash_backend, routes: DataFrame | None = None,
+) -> DataFrame:
     """row_idx, Text, result, audit for rows (row_idx, Text): route, sanitise, propose, prune, gate, choose.
 
     proposer makes an array of candidates from (sanitised text, text, how many); config.proposer_input says whether it
-    sees the raw text (the default) or the sanitised one.
+    sees the raw text (the default) or the sanitised one. score and encode: a text's probability of hate and its vector, as
+    Column functions made of Column expressions. routes: those of earlier layers; else, with triage, the default ones.
     """
     rows = rows.select("row_idx", F.coalesce("Text", F.lit("")).alias("Text"))
     canonical = lexicon.protected_terms(F.col("Text"), tokens.terms, tokens.max_gap)
     prepared = rows
     keep = force = None
-    if triage:
-        first = saliency_routes(rows, config.saliency_threshold)
-        sets = route_sets(first.unionByName(style_routes(rows, first)))
-        prepared = rows.join(sets, "row_idx", "left")
+    if triage and routes is None:
+        first = saliency_routes(rows, config.saliency_threshold, score)
+        routes = first.unionByName(style_routes(rows, first))
+    if routes is not None:
+        prepared = rows.join(route_sets(routes), "row_idx", "left")
         none = F.array().cast("array<string>")
         keep, force = F.coalesce("protected", none), F.coalesce("forced", none)
     share = {k: (None if v is None else config.epsilon_1 if k == "content" else v) for k, v in tokens.epsilon.items()}
     from dataclasses import replace
 
-    done = privatize(prepared, replace(tokens, epsilon=share), keep, force)
+    done = privatize(prepared, replace(tokens, epsilon=share), keep, force, backend)
     done = done.withColumn("canonicals", canonical).withColumn("_skeletons", term_skeletons_of(canonical))
     if config.generation == "none":
         audit = F.struct(F.lit(True).alias("fallback"), F.lit("generation_disabled").alias("fallback_reason"), F.lit(0).alias("k_generated"), F.lit(0).alias("k_after_prune"), F.lit(0).alias("k_valid"))
         return done.select("row_idx", "Text", F.col("x_priv").alias("result"), audit.alias("audit"))
     source = F.col("Text") if config.proposer_input == "text" else F.col("x_priv")
     done = done.withColumn("_raw", proposer(F.col("x_priv"), source, config.k_generate))
-    done = done.withColumn("_encoded", F.transform("_raw", lambda c: F.struct(c.alias("text"), hash_vector(c).alias("v"))))
-    done = done.withColumn("_pruned", F.transform(prune(F.col("_encoded"), lambda x: x["v"], config.tau_dup, config.k_max_after_prune), lambda x: x["text"]))
-    done = done.withColumn("_details", gated(F.col("_pruned"), F.col("Text"), F.col("_skeletons"), config))
+    done = done.withColumn("_encoded", F.transform("_raw", lambda c: F.struct(c.alias("text"), encode(c).alias("v"))))
+    done = done.withColumn("_pruned", F.transform(pruner(F.col("_encoded"), config.tau_dup, config.k_max_after_prune), lambda x: x["text"]))
+    done = done.withColumn("_details", gated(F.col("_pruned"), F.col("Text"), F.col("_skeletons"), config, score, encode))
     done = done.withColumn("_chosen", choose(F.col("_details"), F.col("x_priv"), F.col("Text"), config, tokens.run_seed, F.col("row_idx")))
     audit = F.struct(
         F.col("_chosen.fallback").alias("fallback"),

@@ -11,7 +11,7 @@ from textveil.config import SentenceConfig, TokenConfig
 from textveil.functions import dp, scores
 from textveil.functions import text as T
 from textveil.operators import corpus as C
-from textveil.operators import evaluate, lexicon, neighbours, privatize, reports, rewrite, triage
+from textveil.operators import backends, evaluate, lexicon, neighbours, privatize, reports, rewrite, triage
 from textveil.sources import csv, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out where its files are read in fewer parts than there are cores: only small tables are, so only they
+    are shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return C.corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "labels"))
 
 
 # RE2 spelling of the token pattern, shared by the SQL below.
@@ -213,7 +220,7 @@ def contexts(spark, sf) -> DataFrame:
 def _scored(spark, sf) -> DataFrame:
     from dataclasses import replace
 
-    return contexts(spark, sf).withColumn("c", privatize.candidates(F.col("ctx"), F.lit(""), replace(TOKENS, include_original=False)))
+    return contexts(spark, sf).withColumn("c", backends.hash_scores(F.col("ctx"), F.lit(""), replace(TOKENS, include_original=False)))
 
 
 @register(f"WITH {SQL_CONTEXTS} SELECT word, r::INT AS place, count(*) AS n, round(sum(score), 4) AS total FROM k GROUP BY 1, 2")
@@ -315,9 +322,19 @@ def macro_f1(spark, sf):
     return evaluate.macro_f1(_labelled(spark, sf), ["classifier"], "gold", "pred_o").select("classifier", F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@register(f"WITH {SQL_SCORED} SELECT classifier, round(avg((pred_o = gold)::INT), 9) AS accuracy, count(*) AS n FROM p GROUP BY 1")
+SQL_MASKED = f"regexp_replace(coalesce(text, ''), '[A-Za-z]*[dt][A-Za-z]*', 'x', 'g')"
+
+
+@register(f"""
+WITH {SQL_SCORED}, q AS (SELECT doc_id, 'proxy-keyword' AS classifier, (len(list_intersect(regexp_extract_all(lower({SQL_MASKED}), '{SQL_RUN}'), [{sql_words(scores.KEYWORDS)}])) > 0)::INT AS pred_p FROM r
+  UNION ALL SELECT doc_id, 'proxy-lexicon', ({SQL_HIT})::INT FROM (SELECT doc_id, {SQL_COLLAPSED} AS f FROM (SELECT doc_id, {SQL_MASKED} AS text FROM r)))
+SELECT classifier, round(avg((pred_o = pred_p)::INT), 9) AS agreement, count(*) AS n FROM p JOIN q USING (doc_id, classifier) GROUP BY 1
+""")
 def agreement(spark, sf):
-    return _labelled(spark, sf).groupBy("classifier").agg(F.round(F.avg((F.col("pred_o") == F.col("gold")).cast("int")), 9).alias("accuracy"), F.count("*").alias("n"))
+    """Predictions before against after, where the text after has an x for each word with a d or a t."""
+    r = spread(rows(spark, sf).where(F.col("HS").isNotNull())).withColumn("x_priv", F.regexp_replace("Text", "[A-Za-z]*[dt][A-Za-z]*", "x"))
+    scored = evaluate.predictions(r, evaluate.proxies(TERMS))
+    return evaluate.agreement(scored).select("classifier", F.round("agreement", 9).alias("agreement"), "n")
 
 
 @register()

@@ -47,6 +47,15 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return _load(spark, path, names)
 
 
+def read_loose(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
+    """Any CSV that has the required columns."""
+    names = header(spark, path)
+    missing = [c for c in required if c not in names]
+    if missing:
+        raise ContractError(f"{path} has no column {', '.join(missing)}")
+    return _load(spark, path, names)
+
+
 def read_compatible(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """The strict contract, else the four columns under accepted spellings; and what each was called in the file."""
     names = header(spark, path)
@@ -83,6 +92,21 @@ def write_corpus(rows: DataFrame, path: str, names: dict[str, str] | None = None
     (rows.coalesce(1) if one_file else rows).write.csv(path, header=True, quote='"', escape='"', emptyValue="", mode=mode, lineSep="\n")
 
 
+def append_corpus(rows: DataFrame, path: str, names: dict[str, str] | None = None) -> None:
+    """More parts in the folder of a corpus, each with a header of its own; the folder is made by the first."""
+    write_corpus(rows, path, names, mode="append")
+
+
+def write_canonical(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The four columns, in order."""
+    write_corpus(rows.select(*REQUIRED), path, mode=mode)
+
+
+def write_privatized(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """ID and Text."""
+    write_corpus(privatized_view(rows), path, mode=mode)
+
+
 def privatized_view(rows: DataFrame) -> DataFrame:
     return rows.select("ID", "Text")
 

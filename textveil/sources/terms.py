@@ -53,3 +53,27 @@ def union_terms(*lists: tuple[str, ...]) -> tuple[str, ...]:
     for x in (x for some in lists for x in some):
         seen.setdefault(x.lower(), x)
     return tuple(seen.values())
+
+
+def write_terms(entries: tuple[str, ...], path: str) -> None:
+    """A list as a file, one entry a line."""
+    from pathlib import Path
+
+    Path(path).write_text("".join(f"{x}\n" for x in entries), encoding="utf-8")
+
+
+def terms_of_settings(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The terms that a settings file names, inline (terms) or in a file (terms_file); none if there are neither."""
+    from pathlib import Path
+
+    import yaml
+
+    from textveil.config import resolve
+
+    tree = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    token = tree.get("token", {})
+    inline = tuple(token.get("terms", ()))
+    if token.get("terms_file"):
+        found = resolve(token["terms_file"], Path(path).parent)
+        return union_terms(inline, load_terms(spark, str(found)))
+    return inline
