@@ -11,7 +11,7 @@ from textveil.config import SentenceConfig, TokenConfig
 from textveil.functions import dp, scores
 from textveil.functions import text as T
 from textveil.operators import corpus as C
-from textveil.operators import backends, evaluate, lexicon, neighbours, privatize, reports, rewrite, triage
+from textveil.operators import backends, evaluate, layers, lexicon, neighbours, privatize, reports, rewrite, triage
 from textveil.sources import csv, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +267,12 @@ def epsilon_budget(spark, sf):
     return privatize.budget(privatize.privatize(rows(spark, sf), TOKENS))
 
 
+@register(f"SELECT d.doc_id AS row_idx, coalesce(n, 0) AS draws, 6.0::DOUBLE * coalesce(n, 0) AS epsilon_sum FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {SQL_CLASS} AS c FROM ({SQL_TOKENS})) WHERE c IN ('content', 'function_word') GROUP BY 1) USING (doc_id)")
+def epsilon_budget_uniform(spark, sf):
+    """The budget when every word is drawn. epsilon_budget is that of the mode that protects terms."""
+    return privatize.budget(privatize.privatize(rows(spark, sf), TOKENS.for_mode("dpmlm")))
+
+
 # Collapsing every letter's runs one letter at a time is linear, where a fold over characters is not.
 SQL_COLLAPSED = f"list_reduce(list_prepend(regexp_replace(translate(lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')), '{SQL_LEET[0]}', '{SQL_LEET[1]}'), '[^\\p{{L}}\\p{{N}}]', '', 'g'), string_split('abcdefghijklmnopqrstuvwxyz', '')), lambda acc, c: regexp_replace(acc, c || '+', c, 'g'))"
 SQL_HIT = " OR ".join(f"contains(f, '{s}')" for s in ("clown", "trash", "loser", "stupid", "idiot", "scum"))
@@ -383,11 +389,23 @@ def biber_routes(spark, sf):
     return triage.style_routes(rows(spark, sf)).select("row_idx", "token", F.substring_index("reason", ":", -1).alias("class"))
 
 
-@register()
+SQL_ALNUM = "regexp_replace(lower(token), '[^\\p{L}\\p{N}]', '', 'g')"
+
+
+@register(f"""
+WITH w AS ({SQL_WORDS}), k AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '{SQL_RUN}'), lambda x: x IN ({sql_words(scores.KEYWORDS)}))) AS n FROM documents),
+h AS (SELECT doc_id, token, len(list_filter(regexp_extract_all(lower(token), '{SQL_RUN}'), lambda x: x IN ({sql_words(scores.KEYWORDS)}))) AS own FROM w),
+q1 AS (SELECT DISTINCT h.doc_id, token FROM h JOIN k USING (doc_id) WHERE own > 0 AND pow(0.5::DOUBLE, k.n - own) - pow(0.5::DOUBLE, k.n) >= 0.15::DOUBLE),
+q2 AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, token, {SQL_ALNUM} AS k FROM w) WHERE {SQL_STYLE} IS NOT NULL),
+r AS (SELECT doc_id, {SQL_ALNUM} AS key, true AS keep FROM q1 UNION ALL SELECT doc_id, {SQL_ALNUM}, false FROM q2 WHERE (doc_id, token) NOT IN (SELECT doc_id, token FROM q1)),
+g AS (SELECT doc_id, coalesce(list(DISTINCT key) FILTER (keep), []) AS p, coalesce(list(DISTINCT key) FILTER (NOT keep), []) AS f FROM r GROUP BY doc_id)
+SELECT doc_id AS row_idx, coalesce(array_to_string(list_sort(p), ','), '') AS protected, coalesce(array_to_string(list_sort(list_filter(f, lambda x: NOT list_contains(p, x))), ','), '') AS forced FROM g
+""")
 def route_sets(spark, sf):
     r = rows(spark, sf)
     first = triage.saliency_routes(r)
-    return triage.route_sets(first.unionByName(triage.style_routes(r, first)))
+    sets = triage.route_sets(first.unionByName(triage.style_routes(r, first)))
+    return sets.select("row_idx", F.array_join("protected", ",").alias("protected"), F.array_join("forced", ",").alias("forced"))
 
 
 @register("""
@@ -418,7 +436,16 @@ def _proposals(spark, sf) -> DataFrame:
     return all_turns.select("conv_id", F.get("turns", F.lit(0))["text"].alias("text"), F.transform(F.slice("turns", F.lit(2), F.size("turns")), lambda x: x["text"]).alias("candidates"))
 
 
-@register()
+SQL_COSINE = "CASE WHEN list_sum({0}) > 0 AND list_sum({1}) > 0 THEN list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))) ELSE 0 END"
+SQL_VECTOR = "list_transform(range(0, 32), lambda i: len(list_filter(h, lambda x: x = i))::DOUBLE)"
+
+
+@register(f"""
+WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{SQL_RUN}'), lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 32) AS h FROM conversations),
+v AS (SELECT conv_id, turn, {SQL_VECTOR} AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM t),
+c AS (SELECT conv_id, count(*) - 1 AS k, list([v] ORDER BY turn) FILTER (r > 1) AS vs FROM v GROUP BY conv_id)
+SELECT conv_id, k, CASE WHEN k = 0 THEN 0 ELSE len(list_reduce(vs, lambda acc, x: CASE WHEN len(acc) >= 4 OR len(list_filter(acc, lambda q: {SQL_COSINE.format('q', 'x[1]')} >= 0.8)) > 0 THEN acc ELSE list_concat(acc, x) END)) END AS k_after_prune FROM c
+""")
 def prune_greedy(spark, sf):
     p = _proposals(spark, sf).withColumn("e", F.transform("candidates", lambda c: F.struct(c.alias("text"), rewrite.hash_vector(c).alias("v"))))
     return p.select("conv_id", F.size("candidates").alias("k"), F.size(rewrite.prune(F.col("e"), lambda x: x["v"], 0.8, 4)).alias("k_after_prune"))
@@ -489,6 +516,37 @@ def severity_category(spark, sf):
     return e.select("vec_id", F.round("p", 6).alias("p_hate"), scores.label_severity(F.col("s")).alias("severity"), scores.label_category(F.col("s")).alias("category"), scores.confidence_band(F.greatest(F.col("p"), 1 - F.col("p"))).alias("band"))
 
 
+SQL_HITS = f"greatest((len(list_intersect(regexp_extract_all(lower(coalesce(text, '')), '{SQL_RUN}'), [{sql_words(scores.KEYWORDS)}])) > 0)::INT, ({SQL_HIT})::INT)"
+
+
+@register(f"""
+WITH f AS (SELECT doc_id, coalesce(text, '') AS text, {SQL_COLLAPSED} AS f, {SQL_SHARE} AS share FROM documents), s AS (SELECT *, greatest(share, 0.5::DOUBLE * {SQL_HITS}) AS p FROM f)
+SELECT doc_id AS row_idx, text AS x_priv, p >= 0.5 AS flagged, CASE WHEN p < 0.5 THEN 'none' WHEN p >= 0.8 THEN 'high' WHEN p >= 0.65 THEN 'medium' ELSE 'low' END AS severity,
+ round(greatest(p, 1 - p), 3) AS confidence, CASE WHEN round(greatest(p, 1 - p), 3) >= 0.85 THEN 'high' WHEN round(greatest(p, 1 - p), 3) >= 0.7 THEN 'medium' ELSE 'low' END AS band, CASE WHEN p >= 0.5 THEN 'review' ELSE 'ready' END AS status FROM s
+""")
+def row_records(spark, sf):
+    """A record for each document, judged by the proxies; the text stands for its own rewriting."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("row_idx"), F.col("text").alias("Text"), F.col("text").alias("result"))
+    return layers.derive_rows(d, TERMS).select("row_idx", "x_priv", "flagged", "severity", "confidence", "band", "status")
+
+
+@register("SELECT avg(embedding[1]::DOUBLE - embedding[2]::DOUBLE) AS mean_to, avg(embedding[1]::DOUBLE) AS mean_u, avg(embedding[2]::DOUBLE) AS mean_p, avg((embedding[3] > 0)::INT) AS fallback_rate FROM embeddings".replace("avg(", "round(avg(").replace(") AS", "), 6) AS"))
+def calibration_means(spark, sf):
+    e = table(spark, sf, "embeddings").select(*(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("up")), (F.get("embedding", F.lit(2)) > 0).alias("fallback"))
+    means = reports.trial_means(e.withColumn("to", F.col("u") - F.col("p")))
+    return means.select(*(F.round(c, 6).alias(c) for c in means.columns))
+
+
+@register("SELECT doc_id AS row_idx, source AS Author, coalesce(text, '') AS Text FROM documents JOIN (SELECT doc_id, max(toxic) AS t FROM labels GROUP BY 1) USING (doc_id) WHERE t = 1")
+def hate_rows(spark, sf):
+    return layers.development_rows(layers.hate_rows(rows(spark, sf))).select("row_idx", "Author", "Text")
+
+
+@register("SELECT count(*) AS rows, 0 AS rows_rewritten, 0 AS rows_changed FROM documents")
+def run_counters(spark, sf):
+    return reports.counters(privatize.privatize(rows(spark, sf), TOKENS.for_mode("identity")))
+
+
 @register()
 def ablation_summary(spark, sf):
     t = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_idx"), F.col("text").alias("Text"))
