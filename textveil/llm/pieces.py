@@ -36,9 +36,9 @@ from textveil.llm.common import id_and_text, small_batches
 
 BLANK = "▁"
 #: Answers about neighbouring pieces that a worker keeps.
-PAIRS = 500_000
+PAIRS = 1_500_000
 #: Beginnings of words, of up to so many characters, whose backpointers a worker keeps.
-BEGINNINGS, BEGINNING_CHARS = 500_000, 12
+BEGINNINGS, BEGINNING_CHARS = 700_000, 6
 #: Longest pieces that are fed between two commits.
 STEP = 6
 
