@@ -7,7 +7,11 @@ apart. Chunks repeat a lot; the library sees each distinct chunk once per worker
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
+
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are 32-bit integers in little-endian order, which this machine's are not")
 
 #: Entries in each of a cache's two generations; bounds a worker's memory.
 CACHE_ENTRIES = 350_000
@@ -33,6 +37,12 @@ class Cache:
                 self.old, self.young = self.young, {}
             self.young[chunk] = ids
 
+    def add(self, found: dict[str, bytes]) -> None:
+        """put for many at once."""
+        if len(self.young) + len(found) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        self.young.update(found if max(map(len, found)) <= CACHED_CHARS else {c: ids for c, ids in found.items() if len(c) <= CACHED_CHARS})
+
     def again(self, chunk: str) -> bytes | None:
         ids = self.old.get(chunk)
         if ids is not None:
@@ -74,34 +84,35 @@ class ChunkEncoder:
         # A word and its closing mark are looked up apart; what is still unknown goes to the library in one call.
         new: dict[str, bytes | None] = {}
         later: list[tuple[int, str, bytes]] = []
-        for i, ids in enumerate(found):
+        young, old = cache.young.get, cache.old.get
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word, tail, ids = chunks[i], b"", None
+            if word[-1:] in _CLOSING and word[-2:-1].lower().isalpha():
+                tail, word = self._mark(word[-1]), word[:-1]
+                ids = young(word)
             if ids is None:
-                word, tail = chunks[i], b""
-                if word[-1:] in _CLOSING and word[-2:-1].lower().isalpha():
-                    word, tail = word[:-1], self._mark(word[-1])
-                    ids = cache.young.get(word)
-                ids = cache.again(word) if ids is None else ids
+                ids = old(word)
                 if ids is None:
                     new[word] = None
                     later.append((i, word, tail))
-                else:
-                    found[i] = ids + tail
+                    continue
+                cache.put(word, ids)
+                young, old = cache.young.get, cache.old.get
+            found[i] = ids + tail
         if new:
             order = list(new)
             # a chunk that starts with its own line break never had a blank before it
-            texts = [c if c[:1] == "\n" else prefix + c for c in order]
+            texts = [c if c[:1] == "\n" else prefix + c for c in order] if prefix else order
             for c, e in zip(order, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = e.ids
-                new[c] = struct.pack(f"<{len(ids)}I", *ids)
-                cache.put(c, new[c])
+                new[c] = array("I", e.ids).tobytes()
+            cache.add(new)
             for i, word, tail in later:
-                found[i] = new[word] + tail
+                found[i] = new[word] + tail if tail else new[word]
         return found
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
-            ids = self.library.encode(mark, add_special_tokens=False).ids
-            self.marks[mark] = struct.pack(f"<{len(ids)}I", *ids)
+            self.marks[mark] = array("I", self.library.encode(mark, add_special_tokens=False).ids).tobytes()
         return self.marks[mark]
 
 
