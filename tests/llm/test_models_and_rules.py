@@ -215,3 +215,14 @@ def test_pipeline_against_plain_stages(spark, docs, tmp_path):
 def test_every_query_is_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert exact_dedup.PREFIX_CHARS > 0
+
+
+def test_models_judge_rows_with_repeated_ids_and_clashing_columns(spark, made):
+    rows, docs, labels = made
+    crf, net = toxic_crf.learn(docs, labels, toxic_crf.learnable()), byte_cnn.learn(docs, labels, byte_cnn.learnable())
+    odd = [(1, rows[0][1], 0.5, 1), (1, rows[1][1], None, None), (1, rows[1][1], 0.5, 0), (None, None, None, None)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, score double, predicted int")
+    for found in (toxic_crf.score_documents(odd, crf), byte_cnn.score_documents(odd, net)):
+        out = found.collect()
+        assert [r.doc_id for r in out].count(1) == 3 and len(out) == 4 and len({r.score for r in out}) <= 3
+    assert toxic_crf.keep_clean(odd, crf).columns == odd.columns

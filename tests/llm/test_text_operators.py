@@ -205,3 +205,16 @@ def test_line_figures_and_verdicts(spark, docs, texts):
     assert out[904].kept and out[905].kept and out[905].n_removed_lines == 1 and out[905].cleaned == prose
     assert not out[906].kept
     assert line_quality.judge_documents(docs([])).count() == 0
+
+
+def test_repeated_ids_are_apart(spark, docs, texts):
+    """One doc_id with several texts, and whole rows twice: a row, or the pieces of one, for each."""
+    rows = [(7, texts[0][1]), (7, texts[1][1]), (7, texts[1][1]), (None, texts[2][1]), (None, None)]
+    wanted = sorted((i is None, i or 0, len(library_ids("word_bpe_49k.json", t)) + 1) for i, t in rows)
+    packed = packing.pack(docs(rows), tokenizer_file("word_bpe_49k.json"), 1, 64).collect()
+    assert sum(r.length for r in packed) == sum(n for _, _, n in wanted)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens) for r in packed if r.start == 0) == wanted
+    coded = pieces.encode_decode(docs(rows), tokenizer_file("piece_bpe_32k.model")).collect()
+    assert sorted((r.doc_id is None, r.decoded) for r in coded) == sorted((i is None, t or "") for i, t in rows)
+    judged = line_quality.judge_documents(docs(rows)).collect()
+    assert sorted(r.n_words for r in judged) == sorted(plain_figures(t)[0] for _, t in rows)
