@@ -29,6 +29,8 @@ def test_chunks_encode_as_whole_texts_do(name, leading):
     encoder, r = ChunkEncoder(tokenizer_file(name), leading), random.Random(3)
     signs = "ab'st 1é\n\t  \r\x0b\x1c\x85\xa0\u3000Σ.,!-\u0301😀İß"
     cases = ["".join(r.choice(signs) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    letters = "abcdeéßñΣσİıǅऴक़日本한ⅷªʰ"
+    cases += [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(r.randint(2, 30))) for _ in range(500)]
     for text in [*cases, "", "<|endoftext|>", "x" * 5000, " \n \n\n a"]:
         assert encoder.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
