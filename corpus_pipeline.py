@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Alike: the fingerprints of their words are near, and those of their five-word shingles confirm a similarity of 0.8.
     """
-    return simhash.keep_one(docs, words=1, radius=3, check=simhash.FIVE_WORDS)
+    return simhash.keep_one(docs, words=1, radius=4, check=simhash.FIVE_WORDS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
