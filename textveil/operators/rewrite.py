@@ -23,7 +23,7 @@ from textveil.operators.triage import route_sets, saliency_routes, style_routes
 
 def hash_vector(text: Column, size: int = 32) -> Column:
     """A stand-in encoder: counts of hashed words, as an array of doubles."""
-    slots = F.transform(F.regexp_extract_all(F.lower(text), F.lit(T.RUN), 0), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % F.lit(size))
+    slots = F.transform(F.regexp_extract_all(F.lower(text), F.lit(T.RUN), 0), lambda w: F.conv(F.substring(F.md5(w), 5, 4), 16, 10).cast("int") % F.lit(size))
     return T.let(slots, lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double")))
 
 

@@ -441,7 +441,7 @@ SQL_VECTOR = "list_transform(range(0, 32), lambda i: len(list_filter(h, lambda x
 
 
 @register(f"""
-WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{SQL_RUN}'), lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 32) AS h FROM conversations),
+WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{SQL_RUN}'), lambda w: ('0x' || substr(md5(w), 5, 4))::INT % 32) AS h FROM conversations),
 v AS (SELECT conv_id, turn, {SQL_VECTOR} AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM t),
 c AS (SELECT conv_id, count(*) - 1 AS k, list([v] ORDER BY turn) FILTER (r > 1) AS vs FROM v GROUP BY conv_id)
 SELECT conv_id, k, CASE WHEN k = 0 THEN 0 ELSE len(list_reduce(vs, lambda acc, x: CASE WHEN len(acc) >= 4 OR len(list_filter(acc, lambda q: {SQL_COSINE.format('q', 'x[1]')} >= 0.8)) > 0 THEN acc ELSE list_concat(acc, x) END)) END AS k_after_prune FROM c
