@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textveil.config import TokenConfig
-from textveil.operators import privatize
+from textveil.operators import evaluate, privatize
 
 ODD = [(1, "Sooo gonna sell 42 red-hot clowns to @you, c.l.o.w.n and the iPhone"), (2, ""), (3, None), (4, "  \n "), (5, "#tag https://a.b/c?d"), (5, "the same id 你好 ΣΊΣΥΦΟΣ"), (6, "u U dont İ ﬁve ²3 a-b'c —— x"), (7, "👍👍 wooow ... !!")]
 
@@ -21,3 +21,12 @@ def test_budget_without_draws(spark):
         said, drawn = privatize.spent(odd(spark), config), privatize.budget(privatize.privatize(odd(spark), config))
         assert sorted(said.collect()) == sorted(drawn.collect())
         assert "sha2" not in plan_of(said).lower()
+
+
+def test_similarity_broadcasts_no_table_that_grows(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a", "the cat sat", True), (2, "b", "a dog ran off", True), (3, "a", "cats sit, Σ ", True), (4, "b", "dogs", True), (1, "a", "a cat ran", False), (5, None, "zzz cat", True), (6, "b", "", True)], "row_idx long, author string, text string, fit boolean")
+    wide = evaluate.similarity(rows)
+    assert "BroadcastHashJoin" not in plan_of(wide)
+    monkeypatch.setattr(evaluate, "WIDE", 0)
+    rounded = lambda df: sorted(df.withColumn("similarity", F.round("similarity", 9)).na.fill("").collect())
+    assert rounded(wide) == rounded(evaluate.similarity(rows)) and wide.count() > 8
