@@ -30,3 +30,17 @@ def test_similarity_broadcasts_no_table_that_grows(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "WIDE", 0)
     rounded = lambda df: sorted(df.withColumn("similarity", F.round("similarity", 9)).na.fill("").collect())
     assert rounded(wide) == rounded(evaluate.similarity(rows)) and wide.count() > 8
+
+
+def test_texts_are_those_of_the_log(spark):
+    blanks = "".join(map(chr, (0x9, 0x1C, 0x85, 0xA0, 0x1680, 0x200B, 0x2028, 0x3000, 0xFEFF))).join("abcdefghij")
+    text = "I'm gonna, wanna -- loser idi0t. U/R (the) amber amber…  x\n\ny_z"
+    rows = odd(spark).unionByName(spark.createDataFrame([(8, blanks), (9, text)], "row_idx long, Text string"))
+    keys = F.array(F.lit("sell"), F.lit("σίσυφοσ")), F.array(F.lit("the"), F.lit("42"))
+    for config in (TokenConfig(), TokenConfig().for_mode("dpmlm"), TokenConfig(vocabulary=("amber", "going", "42"), top_k=2, include_original=False, clip=1.0), TokenConfig(terms=())):
+        for k in ((), keys):
+            log = privatize.privatize(rows, config, *k)
+            kept = log.select("row_idx", "Text", "x_priv", F.size("token_log"), F.size(F.filter("token_log", lambda e: e["action"] == "rewritten")))
+            texts = privatize.privatize_texts(rows, config, *k)
+            assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, kept.collect()))
+            assert "sha2" not in plan_of(texts).lower()
