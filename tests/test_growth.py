@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textveil.config import TokenConfig
-from textveil.operators import evaluate, privatize
+from textveil.operators import evaluate, privatize, triage
 
 ODD = [(1, "Sooo gonna sell 42 red-hot clowns to @you, c.l.o.w.n and the iPhone"), (2, ""), (3, None), (4, "  \n "), (5, "#tag https://a.b/c?d"), (5, "the same id 你好 ΣΊΣΥΦΟΣ"), (6, "u U dont İ ﬁve ²3 a-b'c —— x"), (7, "👍👍 wooow ... !!")]
 
@@ -44,3 +44,11 @@ def test_texts_are_those_of_the_log(spark):
             texts = privatize.privatize_texts(rows, config, *k)
             assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, kept.collect()))
             assert "sha2" not in plan_of(texts).lower()
+
+
+def test_style_words_are_the_style_routes(spark):
+    rows = spark.createDataFrame([(1, "You now, you NOW lol; here"), (2, "your idiot here"), (3, None), (4, "")], "row_idx long, Text string")
+    said = ("row_idx", "token", "quadrant", "action", "boost", "reason")
+    first = triage.saliency_routes(rows)
+    assert first.count() == 1 and sorted(triage.style_words(rows, first).select(*said).collect()) == sorted(triage.style_routes(rows, first).select(*said).collect())
+    assert "Window" not in plan_of(triage.style_words(rows))

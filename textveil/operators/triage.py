@@ -43,8 +43,13 @@ def saliency_routes(rows: DataFrame, threshold: float = 0.15, score: Callable[[C
     score: a Column function. The text without a token has blanks of equal length in its place. Every token is tried,
     unless score says (score.additive) that a token which scores as a blank does alone changes no text's score.
     """
-    found = words(rows).join(rows.select("row_idx", F.coalesce("Text", F.lit("")).alias("Text")).withColumn("base", score(F.col("Text"))).where("base >= 0"), "row_idx")
-    if getattr(score, "additive", False):
+    additive = getattr(score, "additive", False)
+    scored = rows.select("row_idx", F.coalesce("Text", F.lit("")).alias("Text")).withColumn("base", score(F.col("Text"))).where("base >= 0")
+    if additive:
+        # such a score is never below a blank's, so only texts above it by the threshold are cut
+        scored = scored.where(F.col("base") - score(F.lit("")) >= threshold)
+    found = words(scored if additive else rows).join(scored, "row_idx")
+    if additive:
         found = found.where(score(F.col("token")) != score(F.lit("")))
     hidden = F.concat(F.substring("Text", F.lit(1), F.col("start")), F.repeat(F.lit(" "), F.length("token")), F.substring(F.col("Text"), F.col("end") + 1, F.length("Text")))
     drop = F.col("base") - score(hidden)
@@ -53,6 +58,24 @@ def saliency_routes(rows: DataFrame, threshold: float = 0.15, score: Callable[[C
     )
 
 
+def style_words(rows: DataFrame, routed: DataFrame | None = None, boosts: Mapping[str, float] | None = None) -> DataFrame:
+    """row_idx, token, quadrant, action, boost, reason of style_routes: without places, so only words of a class are shuffled."""
+    each = rows.select("row_idx", F.explode(F.regexp_extract_all(F.coalesce(F.col("Text"), F.lit("")), F.lit(CHUNK), 0)).alias("token"))
+    known = [(w, c, float((boosts or {}).get(c, default))) for c, members, default in reversed(STYLE_CLASSES) for w in members]
+    classes = {w: F.struct(F.lit(c).alias("class"), F.lit(b).alias("boost")) for w, c, b in known}
+    each = each.withColumn("key", alnum_key(F.col("token"))).where(F.col("key").isin(*classes))
+    if routed is not None:
+        each = each.join(routed.select("row_idx", "token").distinct(), ["row_idx", "token"], "left_anti")
+    named = each.distinct().withColumn("f", F.create_map(*(x for w, s in classes.items() for x in (F.lit(w), s)))[F.col("key")])
+    return named.select("row_idx", "token", F.lit("Q2").alias("quadrant"), F.lit("sanitize").alias("action"), "f.boost", F.concat(F.lit("biber:"), F.col("f.class")).alias("reason"))
+
+
+def default_routes(rows: DataFrame, threshold: float = 0.15, score: Callable[[Column], Column] = keyword_share) -> DataFrame:
+    """What route_sets needs of both layers' routes."""
+    first = saliency_routes(rows, threshold, score)
+    return first.select("row_idx", "token", "quadrant", "action", "boost", "reason").unionByName(style_words(rows, first))
+
+
 def style_routes(rows: DataFrame, routed: DataFrame | None = None, boosts: Mapping[str, float] | None = None) -> DataFrame:
     """The first occurrence of each token of a style class that no earlier route has claimed: Q2, sanitize."""
     boosts = boosts or {}
