@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from textveil.config import TokenConfig
-from textveil.operators import evaluate, privatize, triage
+from textveil.config import SentenceConfig, TokenConfig
+from textveil.functions import text as T
+from textveil.operators import evaluate, privatize, rewrite, triage
 
 ODD = [(1, "Sooo gonna sell 42 red-hot clowns to @you, c.l.o.w.n and the iPhone"), (2, ""), (3, None), (4, "  \n "), (5, "#tag https://a.b/c?d"), (5, "the same id 你好 ΣΊΣΥΦΟΣ"), (6, "u U dont İ ﬁve ²3 a-b'c —— x"), (7, "👍👍 wooow ... !!")]
 
@@ -52,3 +53,15 @@ def test_style_words_are_the_style_routes(spark):
     first = triage.saliency_routes(rows)
     assert first.count() == 1 and sorted(triage.style_words(rows, first).select(*said).collect()) == sorted(triage.style_routes(rows, first).select(*said).collect())
     assert "Window" not in plan_of(triage.style_words(rows))
+
+
+def test_edit_ratio_below_is_the_ratio_compared(spark):
+    pairs = spark.createDataFrame([("", ""), ("abc", ""), ("", "x"), ("abcdefghij", "abcdefghix"), ("abcdefghij", "abcdefgxyz"), ("你好吗", "你好"), ("a" * 25, "a" * 23), ("a" * 25, "a" * 22 + "b")], "a string, b string")
+    for bound in (0.0, 0.08, 0.1, 0.3, 1.0, 2.0):
+        rows = pairs.select(T.edit_ratio_below(F.col("a"), F.col("b"), bound).alias("x"), (T.edit_ratio(F.col("a"), F.col("b")) < bound).alias("y")).collect()
+        assert all(r.x == r.y for r in rows)
+
+
+def test_small_rows_with_much_work_keep_many_parts(spark):
+    rows = spark.createDataFrame([(i, f"you idiot number {i} went home now") for i in range(40)], "row_idx long, Text string").coalesce(1)
+    assert rewrite.rewrite(rows, TokenConfig(), SentenceConfig()).rdd.getNumPartitions() >= 4

@@ -15,6 +15,13 @@ def corpus(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(hs.withColumnRenamed("doc_id", "row_idx"), "row_idx", "left")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows shuffled by keys into a fixed number of parts. Parts that the planner chooses are sized by their bytes, which
+    leaves too few of them where a row is small and the work on it is not."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def diff_rows(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = ("ID", "Author", "HS")) -> DataFrame:
     """row_idx, field, before, after for each preserved field that differs; field "row" where a row is on one side only."""
     a = before.select("row_idx", *(F.col(c).cast("string").alias(f"a_{c}") for c in columns), F.lit(True).alias("in_a"))

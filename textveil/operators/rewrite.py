@@ -17,14 +17,15 @@ from textveil.functions import text as T
 from textveil.functions.scores import keyword_share, term_skeletons
 from textveil.operators import lexicon
 from textveil.operators.backends import Backend, hash_backend
-from textveil.operators.privatize import privatize
-from textveil.operators.triage import route_sets, saliency_routes, style_routes
+from textveil.operators.corpus import dealt
+from textveil.operators.privatize import privatize_texts
+from textveil.operators.triage import default_routes, route_sets
 
 
 def hash_vector(text: Column, size: int = 32) -> Column:
     """A stand-in encoder: counts of hashed words, as an array of doubles."""
     slots = F.transform(F.regexp_extract_all(F.lower(text), F.lit(T.RUN), 0), lambda w: F.conv(F.substring(F.md5(w), 5, 4), 16, 10).cast("int") % F.lit(size))
-    return T.let(slots, lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double")))
+    return T.let(slots, lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double")))
 
 
 def prune(items: Column, vector: Callable[[Column], Column], tau: float, most: int) -> Column:
@@ -48,7 +49,7 @@ def gate(candidate: Column, original: Column, skeletons: Column, p: Column, p_or
         .when(p < p_original - config.hate_floor_delta, "hate_floor")
         .when((length < config.min_length_tokens) | long, "length")
         .when(cosine < config.tau_sem_min, "semantic")
-        .when(T.edit_ratio(original, candidate) < config.min_edit_ratio, "edit_ratio")
+        .when(T.edit_ratio_below(original, candidate, config.min_edit_ratio), "edit_ratio")
         .otherwise("")
     )
 
@@ -160,13 +161,12 @@ def rewrite(
     sees the raw text (the default) or the sanitised one. score and encode: a text's probability of hate and its vector, as
     Column functions made of Column expressions. routes: those of earlier layers; else, with triage, the default ones.
     """
-    rows = rows.select("row_idx", F.coalesce("Text", F.lit("")).alias("Text"))
+    rows = dealt(rows.select("row_idx", F.coalesce("Text", F.lit("")).alias("Text")), "row_idx")
     canonical = lexicon.protected_terms(F.col("Text"), tokens.terms, tokens.max_gap)
     prepared = rows
     keep = force = None
     if triage and routes is None:
-        first = saliency_routes(rows, config.saliency_threshold, score)
-        routes = first.unionByName(style_routes(rows, first))
+        routes = default_routes(rows, config.saliency_threshold, score)
     if routes is not None:
         prepared = rows.join(route_sets(routes), "row_idx", "left")
         none = F.array().cast("array<string>")
@@ -174,7 +174,7 @@ def rewrite(
     share = {k: (None if v is None else config.epsilon_1 if k == "content" else v) for k, v in tokens.epsilon.items()}
     from dataclasses import replace
 
-    done = privatize(prepared, replace(tokens, epsilon=share), keep, force, backend)
+    done = privatize_texts(prepared, replace(tokens, epsilon=share), keep, force, backend)
     done = done.withColumn("canonicals", canonical).withColumn("_skeletons", term_skeletons_of(canonical))
     if config.generation == "none":
         audit = F.struct(F.lit(True).alias("fallback"), F.lit("generation_disabled").alias("fallback_reason"), F.lit(0).alias("k_generated"), F.lit(0).alias("k_after_prune"), F.lit(0).alias("k_valid"))
