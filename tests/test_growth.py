@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textveil.config import SentenceConfig, TokenConfig
+from textveil.functions import scores
 from textveil.functions import text as T
 from textveil.operators import evaluate, privatize, rewrite, triage
 
@@ -65,3 +66,12 @@ def test_edit_ratio_below_is_the_ratio_compared(spark):
 def test_small_rows_with_much_work_keep_many_parts(spark):
     rows = spark.createDataFrame([(i, f"you idiot number {i} went home now") for i in range(40)], "row_idx long, Text string").coalesce(1)
     assert rewrite.rewrite(rows, TokenConfig(), SentenceConfig()).rdd.getNumPartitions() >= 4
+
+
+def test_skeletons_are_held_with_and_without_tokens(spark):
+    texts = spark.createDataFrame([("cclown nnoon",), ("ΑΣ ΑΣ x",), ("s c u m",), ("an idi0t here",), ("",), (None,), ("clo\nwn",)], "t string")
+    known = F.array(*map(F.lit, ("clown", "non", "ας", "scum", "idiot")))
+    held = [sorted(r.h) for r in texts.select(scores.skeletons_held(F.col("t"), known).alias("h")).collect()]
+    assert held == [["clown", "non"], ["ας"], ["scum"], ["idiot"], [], [], ["clown"]]
+    ascii_only = texts.select(scores.skeletons_held(F.col("t"), F.array(*map(F.lit, ("clown", "non", "scum", "idiot")))).alias("h"))
+    assert [sorted(r.h) for r in ascii_only.collect()] == [[s for s in h if s.isascii()] for h in held]

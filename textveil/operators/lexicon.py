@@ -101,6 +101,10 @@ def protected_terms(text: Column, terms: Sequence[str], max_gap: int = 2) -> Col
     if not terms:
         return F.array().cast("array<string>")
     by_pattern = F.array_compact(F.array(*(F.when(text.rlike(bounded([term_pattern(t, max_gap)])), F.lit(t)) for t in terms)))
+    if len(terms) <= TERMS_IN_PATTERN:
+        # one pass over the many texts without any
+        some = text.rlike(bounded([term_pattern(t, max_gap) for t in terms]))
+        by_pattern = F.when(some, by_pattern).otherwise(F.array().cast("array<string>"))
     known = F.array(*(F.struct(F.lit(t).alias("term"), skeleton(F.lit(t)).alias("skeleton")) for t in terms))
     held = skeletons_held(text, term_skeletons(terms))
     by_skeleton = let(held, lambda h: F.transform(F.filter(known, lambda k: F.array_contains(h, k["skeleton"])), lambda k: k["term"]))
